@@ -89,7 +89,7 @@ def links(fps: DataFrame, bits: int = BITS, blocks: int = BLOCKS, crowd: int = C
     files = keyed.groupBy("m", "k").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
     files = materialize(files)
 
-    def compare(key, table: pa.Table) -> pa.Table:
+    def compare(key, table):
         """Edges from the least member of each component of one file to the rest of it."""
         rest = np.unique(table.column("fp").to_numpy())
         a, b = [], []

@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 1024
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, as a document may be long."""
+    """Arrow batches small in rows and in bytes, as a document may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -156,3 +157,12 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, np.minimum(starts + length, n), -1)
     return np.cumsum(step[:n]) > 0
+
+
+def member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(known, x)
+    at[at == len(known)] = 0
+    return known[at] == x

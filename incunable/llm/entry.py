@@ -2,7 +2,25 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
+from .chat import OP6_SQL, op6_chat_format
+from .decontaminate import op2_decontaminate
+from .lm import op1_lm_score
+from .neighbours import op9_neighbours
+from .quality import op8_quality
 from .simhash import op7_simhash
+from .substring import op5_substring
+from .toxicity import op10_toxicity
 
-QUERIES = {"op7_simhash": op7_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_lm_score": op1_lm_score,
+    "op2_decontaminate": op2_decontaminate,
+    "op4_bpe": op4_bpe,
+    "op5_substring": op5_substring,
+    "op6_chat_format": op6_chat_format,
+    "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
+    "op9_neighbours": op9_neighbours,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLE_SQL = {"op6_chat_format": OP6_SQL}

@@ -18,17 +18,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, id_text, materialize, tuned
+from .common import buffers, id_text, materialize
 
 CHUNK_BYTES = 8 << 20
-_PACK = zstandard.ZstdCompressor(level=3)
-_FAST = zstandard.ZstdCompressor(level=1)
-_OPEN = zstandard.ZstdDecompressor()
 
 
-def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(chunk, bytes, blob): the documents in chunks, each in the order of doc_id (nulls last)."""
-    tuned(docs.sparkSession)
+def shrink(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
+
+
+def grow(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
+    """(chunk, bytes, blob): the documents in chunks, each in the order of doc_id (nulls last), with the columns `carry`."""
 
     def run(batches):
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -40,7 +44,8 @@ def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id"
             ids, texts = ids.take(pa.array(order)), texts.take(pa.array(order))
             raw, offsets = buffers(texts)
             known = ~np.asarray(ids.is_null())
-            blob = _PACK.compress(pickle.dumps((ids.fill_null(0).to_numpy(), known, offsets, raw.tobytes()), 5))
+            more = pa.concat_arrays([x.column(2) for x in held]).take(pa.array(order)).to_pylist() if carry else None
+            blob = shrink(pickle.dumps((ids.fill_null(0).to_numpy(), known, offsets, raw.tobytes(), more), 5), 3)
             return pa.RecordBatch.from_arrays([pa.array([(part << 24) + seq]), pa.array([len(raw)]), pa.array([blob], pa.binary())], names=["chunk", "bytes", "blob"])
 
         for batch in batches:
@@ -52,24 +57,28 @@ def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id"
         if any(x.num_rows for x in held):
             yield emit()
 
-    return materialize(id_text(docs, id_col, text_col).mapInArrow(run, "chunk long, bytes long, blob binary"), "none")
+    return materialize(id_text(docs, id_col, text_col, carry).mapInArrow(run, "chunk long, bytes long, blob binary"), "none")
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, which of them are known, offsets, and the bytes of all texts."""
-    ids, known, offsets, raw = pickle.loads(_OPEN.decompress(blob))
+    ids, known, offsets, raw, _ = pickle.loads(grow(blob))
     return ids, known, offsets, np.frombuffer(raw, np.uint8)
 
 
+def unpack_carry(blob: bytes) -> list | None:
+    return pickle.loads(grow(blob))[4]
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
     planes = values.view(np.uint8).reshape(len(values), -1).T
-    return len(values).to_bytes(4, "little") + values.dtype.str[1:].encode() + _FAST.compress(np.ascontiguousarray(planes).tobytes())
+    return len(values).to_bytes(4, "little") + values.dtype.str[1:].encode() + shrink(np.ascontiguousarray(planes).tobytes())
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
     n, kind = int.from_bytes(data[:4], "little"), np.dtype(data[4:6].decode())
-    planes = np.frombuffer(_OPEN.decompress(data[6:]), np.uint8).reshape(kind.itemsize, n) if n else np.zeros((kind.itemsize, 0), np.uint8)
+    planes = np.frombuffer(grow(data[6:]), np.uint8).reshape(kind.itemsize, n) if n else np.zeros((kind.itemsize, 0), np.uint8)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 

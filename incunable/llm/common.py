@@ -43,12 +43,19 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Just the two columns an operator works on: clashing extra columns never reach it."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
+    """The two columns an operator works on, and the struct `carry` of those to hand through: no other can clash."""
+    tuned(docs.sparkSession)
+    more = [F.struct(*carry).alias("carry")] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+
+
+def carried(docs: DataFrame, schema: str, carry: tuple) -> str:
+    """An operator's output schema, with `carry` at its end if any columns are handed through."""
+    return f"{schema}, carry {docs.select(F.struct(*carry)).schema[0].dataType.simpleString()}" if carry else schema
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

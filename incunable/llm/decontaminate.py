@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, buffers, documents, gram_hashes, id_text, materialize, member, spans, within, word_hashes
+from .common import LOWER, WORDS, buffers, carried, documents, gram_hashes, id_text, materialize, member, spans, within, word_hashes
 
-SPAN, GRAM, BROADCAST_MB = 10, 5, 64
+SPAN, GRAM, BROADCAST_MB = 10, 5, 16
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,12 +108,13 @@ def _found(batch, index: dict, span: int, gram: int):
                 yield a, k, items
 
 
-def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, broadcast_mb: float = BROADCAST_MB, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, broadcast_mb: float = BROADCAST_MB, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", carry: tuple = ()) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     n_hit counts words inside any occurrence of an item's window of `span` words (an item of fewer words, but not none,
     is one window). Null and empty texts have no words and no hits; null item texts are no items; repeated items and
-    rows count as they come. Without items every row is clean. Only the named columns are read.
+    rows count as they come. Without items every row is clean. Only the named columns are read;
+    those named in `carry` are handed through as a struct.
     """
     spark = docs.sparkSession
     bench = items.select(F.col(item_id_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
@@ -133,15 +134,15 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
                     ids |= found
                 none = (np.zeros(0, bool), set())
                 rows = [_row(i, int(first[d + 1] - first[d]), *hits.get(d, none)) for d, i in enumerate(batch.column(0).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, _TYPES)], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, _TYPES)] + batch.columns[2:], names=[*_NAMES, *batch.schema.names[2:]])
 
-        return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
-    return _by_shuffle(docs, bench, span, gram, id_col, text_col)
+        return id_text(docs, id_col, text_col, carry).mapInArrow(run, carried(docs, SCHEMA, carry))
+    return _by_shuffle(docs, bench, span, gram, id_col, text_col, carry)
 
 
-def _by_shuffle(docs: DataFrame, bench: DataFrame, span: int, gram: int, id_col: str, text_col: str) -> DataFrame:
+def _by_shuffle(docs: DataFrame, bench: DataFrame, span: int, gram: int, id_col: str, text_col: str, carry: tuple) -> DataFrame:
     """The same for a benchmark of any size: fingerprints, then windows around them, meet in shuffled joins."""
-    keyed = materialize(id_text(docs, id_col, text_col).withColumn("row", F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id())))
+    keyed = materialize(id_text(docs, id_col, text_col, carry).withColumn("row", F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id())))
     lengths = [r[0] for r in bench.select(F.size(F.regexp_extract_all(F.col("text"), F.lit(r"([0-9A-Za-z\x{80}-\x{10FFFF}]+)"))).alias("n")).where(f"n > 0 and n < {span}").distinct().collect()]
 
     def kept(batches):
@@ -194,7 +195,9 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame, span: int, gram: int, id_col:
 
     counted = keyed.select("row", "doc_id", "text").mapInArrow(count, "row string, doc_id long, n_words long")
     out = counted.join(words, "row", "left").join(which, "row", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size(F.coalesce("items", F.array().cast("array<string>"))), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+    if carry:
+        out = out.join(keyed.select("row", "carry"), "row")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size(F.coalesce("items", F.array().cast("array<string>"))), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), *(["carry"] if carry else []))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

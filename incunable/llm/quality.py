@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, documents, id_text
+from .common import buffers, carried, documents, id_text
 from .toxicity import held_out, labelled_sample
 
 PER_CLASS, DICT_BYTES, LEVEL, BLOCK, THRESHOLD = 3000, 1 << 16, 3, 400, 0.7
@@ -104,11 +104,12 @@ def score(texts: list[bytes], model: dict, compressors: list | None) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(_expand(f, model["mean"], model["scale"]) @ model["w"], -35, 35)))
 
 
-def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:
-    """(doc_id, score): how likely each whole text is good, by a model fitted to `labels` (rows with a null label or id are not used).
+def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", carry: tuple = ()) -> DataFrame:
+    """(doc_id, score, and carry): how likely each whole text is good, by a model fitted to `labels` (rows with a null label or id are not used).
 
     Null texts count as empty and get the score of an empty text. Without labels of both classes every score is the
-    share of good labels (0.5 without any). Repeated rows come back repeated. Only the named columns are read.
+    share of good labels (0.5 without any). Repeated rows come back repeated. Only the named columns
+    are read; those named in `carry` are handed through as a struct.
     """
     sample = labelled_sample(docs, labels, label, per_class, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit([(r[1], r[2]) for r in sample]))
@@ -120,9 +121,9 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_c
             raw, offsets = buffers(batch.column(1))
             data = raw.tobytes()
             texts = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(texts, m, compressors))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(texts, m, compressors)), *batch.columns[2:]], names=["doc_id", "score", *batch.schema.names[2:]])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return id_text(docs, id_col, text_col, carry).mapInArrow(run, carried(docs, "doc_id long, score double", carry))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ class Codec:
         t = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
         while len(w):
             self._make("start", pa.table({"w": w, "p": p, "t": t}))
-            got = self.db.execute(STEP).fetch_arrow_table()
+            got = self.db.execute(STEP).to_arrow_table()
             w, p, t, last = (got.column(i).to_numpy() for i in range(4))
             done = last < ROUNDS
             words, at = np.unique(w[done], return_index=True)
@@ -97,7 +97,7 @@ class Codec:
         if len(flat) and (flat.min() < 0 or flat.max() >= len(self.ranks)):
             raise ValueError("an id is not in the vocabulary")
         self._make("ids", pa.table({"w": np.repeat(np.arange(len(ids)), lengths), "p": np.arange(len(flat)), "t": flat.astype(np.int32)}))
-        got = self.db.execute(DECODE).fetch_arrow_table()
+        got = self.db.execute(DECODE).to_arrow_table()
         for w, s in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
             out[w] = s.encode("latin-1")
         return out

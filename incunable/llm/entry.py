@@ -10,11 +10,13 @@ from .neighbours import op9_neighbours
 from .quality import op8_quality
 from .simhash import op7_simhash
 from .substring import op5_substring
+from .suffix import op3_suffix_dedup
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_bpe": op4_bpe,
     "op5_substring": op5_substring,
     "op6_chat_format": op6_chat_format,

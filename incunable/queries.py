@@ -48,7 +48,6 @@ MARKS = {
 }
 #: What its translation is where (doc_id + 3 * order) % 17 is the number; elsewhere the text itself.
 MUTATIONS = {0: "", 1: "cut", 2: "{t}{t}{t}{t}", 3: "Привет мир все слова и ещё слова {n} abc defghijk", 4: "{t} Ã", 5: "{t} слово слово qi", 6: "{t} bad\x01�"}
-TEXT_RE = r"[^\x00-\x7F]"
 
 
 def _fill(template: str) -> Column:
@@ -114,8 +113,8 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-def row_query(name: str, value: Column, sql: str, alias: str = "value") -> None:
-    """A query of one expression for each block."""
+def row_query(name: str, value, sql: str, alias: str = "value") -> None:
+    """A query of one expression (made when it is asked for) over each block."""
     QUERIES[name] = lambda spark, sf_dir: blocks(spark, sf_dir).select(*KEYS, value().alias(alias))
     ORACLE_SQL[name] = f"WITH {BLOCKS} SELECT book_id, id, {sql} AS {alias} FROM blocks"
 
@@ -123,17 +122,17 @@ def row_query(name: str, value: Column, sql: str, alias: str = "value") -> None:
 W = r"[\p{L}\p{N}_]"
 _strip = lambda c: f"regexp_replace({c}, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g')"
 SQL_SOFT = "replace(replace(text, chr(173), ''), chr(160), ' ')"
-SQL_HYPHEN = rf"regexp_replace(regexp_replace({{}}, '({W})-\n({W})', '\1\2', 'g'), '({W})-\n({W})', '\1\2', 'g')"
-SQL_SPACE = r"array_to_string(list_filter(list_transform(string_split({}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
-SQL_NORMAL = SQL_SPACE.format(SQL_HYPHEN.format(SQL_SOFT))
+SQL_HYPHEN = lambda c: rf"regexp_replace(regexp_replace({c}, '({W})-\n({W})', '\1\2', 'g'), '({W})-\n({W})', '\1\2', 'g')"
+SQL_SPACE = lambda c: r"array_to_string(list_filter(list_transform(string_split({}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> ''), chr(10))".replace("{}", c)
+SQL_NORMAL = SQL_SPACE(SQL_HYPHEN(SQL_SOFT))
 _all = lambda c, pattern: f"regexp_extract_all({c}, '{pattern}')"
 SQL_TOKENS = "list_concat(list_concat(list_concat(list_concat(list_concat({0}, {1}), {2}), {3}), {4}), CASE WHEN regexp_matches(n, '[A-Za-z0-9]\\s*[²³¹⁰-₟]') THEN ['__HAS_SUP_INDEX__'] ELSE [] END)".format(
     _all("n", r"(?i)\bFIG\.?\s*\d+[A-Z]?\b"), _all("n", r"(?i)\bTABLE\.?\s*\d+[A-Z]?\b"), _all("n", r"\[\d+(?:\s*[–-]\s*\d+)?(?:\s*,\s*\d+)*\]"), _all("n", r"(?i)\b10\.\d{4,9}/\S+\b"), _all("n", r"https?://\S+")
 )
 
 row_query("norm_strip_soft", lambda: t.strip_soft("text"), SQL_SOFT)
-row_query("norm_merge_hyphen", lambda: t.merge_hyphen("text"), SQL_HYPHEN.format("text"))
-row_query("norm_whitespace", lambda: t.normalize_whitespace(t.strip_soft("text")), SQL_SPACE.format(SQL_SOFT))
+row_query("norm_merge_hyphen", lambda: t.merge_hyphen("text"), SQL_HYPHEN("text"))
+row_query("norm_whitespace", lambda: t.normalize_whitespace(t.strip_soft("text")), SQL_SPACE(SQL_SOFT))
 row_query("normalize_text", lambda: t.normalize_text("text"), SQL_NORMAL)
 row_query("xml_sanitize", lambda: t.xml_safe("translated_text"), "replace(translated_text, chr(1), '')")
 row_query("text_sha256", lambda: t.sha256("text"), "sha256(text)")

@@ -147,6 +147,7 @@ COMMON = {"en": "the of and to in is that for with", "fr": "le la les des et une
 def detect_language(c: Column | str) -> Column:
     """The language with the most frequent words in the text's first 20,000 characters; null if none has any (a heuristic)."""
     words = F.split(F.lower(detection_sample(c)), r"(?U)[^\w]+")
-    scored = [F.struct(F.size(F.filter(words, lambda w, v=v: w.isin(*v.split()))).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(COMMON.items())]
+    hits = lambda known: F.size(F.filter(words, lambda w: w.isin(*known.split())))
+    scored = [F.struct(hits(known).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("lang")) for i, (name, known) in enumerate(COMMON.items())]
     best = F.array_max(F.array(*scored))
     return F.when(best["n"] > 0, best["lang"])

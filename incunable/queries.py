@@ -88,7 +88,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BLOCKS = f"""
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS "order" FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INTEGER AS "order" FROM documents),
 plain AS (SELECT doc_id::VARCHAR AS book_id, doc_id, "order", text, ("order" // 4 + 1)::INTEGER AS page, ("order" % 4)::INTEGER AS idx FROM lines WHERE trim(text) <> ''),
 marked AS (SELECT * REPLACE ({_sql_cases('(7 * doc_id + "order") % 29', MARKS)} AS text), 'p' || page || '_b' || idx AS id FROM plain),
 blocks AS (SELECT *, {_sql_cases('(doc_id + 3 * "order") % 17', MUTATIONS)} AS translated_text, CASE WHEN trim(text) LIKE '%:' THEN 'heading' ELSE 'text' END AS type,
@@ -196,13 +196,16 @@ def editor_pass(spark, sf_dir):
     return blocks(spark, sf_dir).select(*KEYS, p.editor_pass("text").alias("value"))
 
 
+_MARK = chr(2)
+
+
 def _sql_terms() -> str:
     # RE2's \b is ASCII only, so the SQL takes the border characters as groups (twice: neighbours share one)
     c = "text"
     for term, russian in p.TERMS:
-        for _ in range(2):
-            c = rf"regexp_replace({c}, '(?i)(^|[^\p{{L}}\p{{N}}_]){term}($|[^\p{{L}}\p{{N}}_])', '\1{russian}\2', 'g')" if not russian.endswith(f"({term})") else rf"replace(regexp_replace({c}, '(?i)(^|[^\p{{L}}\p{{N}}_@]){term}($|[^\p{{L}}\p{{N}}_])', '\1{russian[: -len(term) - 1]}@{term})\2', 'g'), '@@', '@')"
-        c = f"replace({c}, '@', '')"
+        for _ in range(1 if "&" in russian else 2):  # the first form holds its own term
+            c = rf"regexp_replace({c}, '(?i)(^|[^\p{{L}}\p{{N}}_]){term}($|[^\p{{L}}\p{{N}}_])', '\1{russian}\2', 'g')" if not russian.endswith(f"({term})") else rf"replace(regexp_replace({c}, '(?i)(^|[^\p{{L}}\p{{N}}_\x02]){term}($|[^\p{{L}}\p{{N}}_])', '\1{russian[: -len(term) - 1]}{_MARK}{term})\2', 'g'), '{_MARK}{_MARK}', '{_MARK}')"
+        c = f"replace({c}, '{_MARK}', '')"
     return f"CASE WHEN length(text) >= 80 THEN {c} ELSE text END"
 
 
@@ -430,7 +433,7 @@ def source_histogram(spark, sf_dir):
     return b.source_histogram(_merged(spark, sf_dir))
 
 
-@query("""SELECT book_id, sha256('<html><body>' || chr(10) || string_agg(body, chr(10) ORDER BY page) || chr(10) || '</body></html>') AS html_sha256 FROM (SELECT book_id, page, '<h2>Page ' || page || '</h2>' || chr(10) || string_agg('<p>' || CASE WHEN translated_text <> '' THEN translated_text ELSE text END || '</p>', chr(10) ORDER BY "order") AS body FROM blocks GROUP BY ALL) GROUP BY book_id""")
+@query("""SELECT book_id, sha256('<html><body>' || chr(10) || string_agg(body, chr(10) ORDER BY page) || chr(10) || '</body></html>') AS html_sha256 FROM (SELECT book_id, page, '<h2>Page ' || page || '</h2>' || chr(10) || string_agg('<p>' || CASE WHEN translated_text <> '' THEN translated_text ELSE text END || '</p>', chr(10) ORDER BY "order") AS body FROM blocks GROUP BY book_id, page) GROUP BY book_id""")
 def export_html(spark, sf_dir):
     return writers.book_html(blocks(spark, sf_dir).withColumn("normalized_text", F.lit(""))).select("book_id", F.sha2("html", 256).alias("html_sha256"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, id_text, materialize
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, TASKS = 8 << 20, 8192
 
 
 def shrink(data: bytes, level: int = 1) -> bytes:
@@ -119,7 +119,7 @@ def ask(chunks: DataFrame, questions) -> DataFrame:
     return chunks.mapInArrow(run, QUESTION)
 
 
-def answer(questions: DataFrame, merge) -> DataFrame:
+def answer(questions: DataFrame, merge, shards: int) -> DataFrame:
     """merge(chunks, payloads) of one shard gives the payload for each chunk, or None."""
 
     def run(key, table):
@@ -128,7 +128,7 @@ def answer(questions: DataFrame, merge) -> DataFrame:
         out = [(chunks[i], p) for i, p in zip(order, merge([chunks[i] for i in order], [payloads[i] for i in order])) if p is not None]
         return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "shard": pa.array([key[0].as_py()] * len(out), pa.int32()), "payload": pa.array([p for _, p in out], pa.binary())})
 
-    return materialize(questions.groupBy("shard").applyInArrow(run, ANSWER))
+    return materialize(questions.repartition(min(shards, TASKS), "shard").groupBy("shard").applyInArrow(run, ANSWER))
 
 
 def told(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
@@ -137,7 +137,8 @@ def told(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
     every = rows[0]
     for r in rows[1:]:
         every = every.unionByName(r)
-    return chunks.join(every.groupBy("chunk").agg(F.collect_list("x").alias("told")), "chunk", "left")
+    # merged whatever the size of the answers: they grow with the corpus
+    return chunks.hint("merge").join(every.groupBy("chunk").agg(F.collect_list("x").alias("told")), "chunk", "left")
 
 
 def heard(row: dict, n: int) -> list[dict[int, bytes]]:

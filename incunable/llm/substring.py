@@ -119,7 +119,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         for shard, a, b in _split(found, bits, cell_bits):
             yield shard, squeeze_sorted((found[a:b] & np.uint64((1 << cell_bits) - 1)).astype(np.uint32))
 
-    counted = answer(ask(chunks.select("chunk", "blob"), cells), _merge_cells(cell_bits))
+    counted = answer(ask(chunks.select("chunk", "blob"), cells), _merge_cells(cell_bits), 1 << bits)
 
     def digests(row):
         ids, known, _, _, _, first, at, pairs, _, leaders = _parts(row, window, bits, cell_bits, heard(row, 1)[0])
@@ -131,7 +131,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             a, b, o = squeeze_sorted(np.ascontiguousarray(pairs["a"][s])), squeeze((pairs["b"][s] >> np.uint64(16)).astype(np.uint64)), squeeze(np.ascontiguousarray(owner[s]))
             yield int(shard), len(a).to_bytes(4, "little") + len(b).to_bytes(4, "little") + a + b + o
 
-    owners = answer(ask(told(chunks.select("chunk", "blob"), counted), digests), _merge_digests)
+    owners = answer(ask(told(chunks.select("chunk", "blob"), counted), digests), _merge_digests, 1 << bits)
 
     def remove(batches):
         for batch in batches:

@@ -205,7 +205,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
             out[a:b] = np.unpackbits(np.frombuffer(data, np.uint8), count=2 * (b - a)).reshape(-1, 2)
         return out[:, 0], out[:, 1]
 
-    first = answer(ask(chunks.select("chunk", "blob"), questions), merge)
+    first = answer(ask(chunks.select("chunk", "blob"), questions), merge, 1 << bits)
 
     def send(row):
         _, _, _, raw, lo, hi, _, one, keys, _ = found(row)
@@ -239,7 +239,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
         rows, edges = np.packbits(table, axis=1), np.cumsum([0] + [len(c) for c in counts])
         return [shrink(rows[edges[i] : edges[i + 1]][want[edges[i] : edges[i + 1]]].tobytes()) for i in range(len(counts))]
 
-    second = answer(ask(told(chunks.select("chunk", "blob"), first), send), compare)
+    second = answer(ask(told(chunks.select("chunk", "blob"), first), send), compare, 1 << byte_bits)
 
     carry_type = to_arrow_type(docs.select(F.struct(*carry)).schema[0].dataType) if carry else None
 

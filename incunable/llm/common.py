@@ -132,8 +132,15 @@ def spans(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(_sums(_VALUES[raw], _BASE, starts, ends))
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word; about `at_once` bytes are worked on at a time."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + at_once, "right")))
+        out[i:j] = _sums(_VALUES[raw[base : ends[j - 1]]], _BASE, starts[i:j] - base, ends[i:j] - base)
+        i = j
+    return mix(out)
 
 
 def gram_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:

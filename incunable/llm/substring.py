@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .chunks import answer, ask, by_shard, heard, pack, shard_bits, squeeze, squeeze_sorted, told, unpack, unsqueeze, unsqueeze_sorted
 from .common import SPACES, documents, gram_hashes, spans, within, word_hashes
 
-WINDOW, PER_SHARD, CELL_BITS = 20, 1 << 21, 26
+WINDOW, PER_SHARD, CELL_BITS = 20, 1 << 20, 25
 
 
 def _windows(row: dict, window: int):

@@ -548,3 +548,60 @@ def book_pipeline(spark, sf_dir):
     from .plans.book import run_book
 
     return run_book(blocks(spark, sf_dir).drop("translated_text"), gate=False)["paragraphs"].select("book_id", "seq", "type", "text", "page")
+
+
+row_query("clean_model_output", lambda: t.clean_model_output("translated_text", "text"), f"(WITH x AS (SELECT {_strip('translated_text')} AS o) SELECT CASE WHEN translated_text = '' OR length(o) < 3 THEN text ELSE o END FROM x)")
+row_query("unix_text", lambda: t.unix_text("text"), _strip("text"))
+row_query("basename", lambda: t.basename(F.concat(F.lit("C:\\books/"), "id", F.lit(".pdf"))), "id || '.pdf'")
+row_query("formula_check", lambda: k.bad_formula(F.when(F.col("order") % 2 == 0, "formula").otherwise("text"), "text"), """"order" % 2 = 0 AND NOT contains(text, '=')""")
+row_query("text_file_id", lambda: t.book_id(F.encode("text", "UTF-8")), "substr(sha256(text), 1, 16)")
+
+
+@query("""SELECT book_id, id, CASE "order" % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'dummy' ELSE 'foo' END AS provider, CASE "order" % 3 WHEN 0 THEN 'gpt:4' WHEN 1 THEN 'echo' ELSE '' END AS model FROM blocks""")
+def model_spec(spark, sf_dir):
+    spec = F.when(F.col("order") % 3 == 0, "openai:gpt:4").when(F.col("order") % 3 == 1, " ").otherwise("foo")
+    return blocks(spark, sf_dir).select(*KEYS, t.model_spec(spec).alias("x")).select(*KEYS, "x.*")
+
+
+@query("""SELECT book_id, "order", text FROM (SELECT book_id, text, row_number() OVER (PARTITION BY book_id ORDER BY "order") AS n, "order" FROM blocks WHERE "order" % 2 = 0) s JOIN (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY "order") AS n FROM blocks WHERE "order" % 2 = 1) t USING (book_id, n)""")
+def pair_by_place(spark, sf_dir):
+    rows = blocks(spark, sf_dir).withColumn("id", F.lit(None).cast("string"))
+    pairs = qa.pair_by_place(rows.where("order % 2 = 0"), rows.where("order % 2 = 1"))
+    return pairs.select("book_id", "s.order", "s.text")
+
+
+@query("""SELECT book_id, left_pages, right_pages, left_pages = right_pages AS same FROM (SELECT book_id, count(DISTINCT page) AS left_pages, count(DISTINCT page) FILTER ("order" % 2 = 0) AS right_pages FROM blocks GROUP BY book_id)""")
+def structure_compare(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    return qa.same_structure(rows.select("book_id", "page").distinct(), rows.where("order % 2 = 0").select("book_id", "page").distinct())
+
+
+@query(f"""SELECT book_id, id, CASE WHEN list IS NULL THEN text ELSE list END AS translated_text FROM blocks LEFT JOIN (SELECT book_id, id, string_agg(x, ' ' ORDER BY n) AS list FROM (SELECT book_id, id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS n FROM blocks) WHERE {_strip("x")} <> '' GROUP BY book_id, id) USING (book_id, id)""")
+def reassemble_chunks(spark, sf_dir):
+    rows = blocks(spark, sf_dir)
+    chunks = rows.select(*KEYS, F.posexplode(F.split("text", " ")).alias("n", "translated"))
+    return lib.reassemble_chunks(rows.drop("translated_text"), chunks).select(*KEYS, "translated_text")
+
+
+@query(SQL_CHAPTERS + """ SELECT book_id, page, "order", t AS text FROM cand WHERE length(t) >= 4 AND (length(t) < 60 OR (upper(t) = t AND lower(t) <> t) OR (NOT regexp_matches(t, '[.!?]$') AND length(t) < 120))""")
+def detect_headings(spark, sf_dir):
+    return ch.headings(blocks(spark, sf_dir))
+
+
+@query("""SELECT DISTINCT 'Font ' || (doc_id % 7) AS font FROM documents""")
+def distinct_fonts(spark, sf_dir):
+    from .sources.readers import fonts
+
+    return fonts(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("Font "), F.col("doc_id") % 7).alias("font")))
+
+
+@query("""SELECT source AS book_id, max(doc_id) AS mtime FROM documents GROUP BY source ORDER BY mtime DESC, book_id LIMIT 1""")
+def latest_book(spark, sf_dir):
+    return lib.latest_book(spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.col("source").alias("book_id")).agg(F.max("doc_id").alias("mtime")))
+
+
+@query(r"""SELECT book_id, id, regexp_extract(tt, '(?s)^\s*(\d+[.)]?\s+\S+)\s+(.*)$', 1) AS head, trim(regexp_extract(tt, '(?s)^\s*(\d+[.)]?\s+\S+)\s+(.*)$', 2)) AS body FROM (SELECT *, '1 ' || text AS tt FROM blocks) WHERE length(regexp_extract(tt, '(?s)^\s*(\d+[.)]?\s+\S+)\s+(.*)$', 1)) BETWEEN 1 AND 80 AND trim(regexp_extract(tt, '(?s)^\s*(\d+[.)]?\s+\S+)\s+(.*)$', 2)) <> ''""")
+def split_structural_v1(spark, sf_dir):
+    target = F.concat(F.lit("1 "), "text")
+    cut = s.split_structural_v1(F.concat(F.lit("1 Head\n"), "text"), target)
+    return blocks(spark, sf_dir).withColumn("x", cut).where("x is not null").select(*KEYS, "x.head", "x.body")

@@ -26,18 +26,21 @@ CACHE, ROUNDS, WORDS_AT_ONCE, ROWS_AT_ONCE = 400_000, 24, 20_000, 400_000
 #: The characters with Unicode's White_Space property, which is what the pattern's \s means.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: A row holds its token, the next token and where that stands; -1 ends a word.
 STEP = f"""
 WITH RECURSIVE s AS (
-  SELECT 0 AS step, w, p, t FROM start
+  SELECT 0 AS step, w, p, t, nt, np FROM start
   UNION ALL
-  SELECT step + 1, w, p, CASE WHEN p = best % 4294967296 THEN (best // 4294967296)::INTEGER ELSE t END
-  FROM (
-    SELECT step, w, p, t, lag(p) OVER x AS before, min(key) OVER (PARTITION BY w) AS best
+  SELECT s.step + 1, s.w, s.p, CASE WHEN s.p = e.p THEN e.r ELSE s.t END,
+    CASE WHEN s.p = e.p THEN e.nt WHEN s.np = e.p THEN e.r ELSE s.nt END, CASE WHEN s.p = e.p THEN e.np ELSE s.np END
+  FROM s JOIN (
+    SELECT least.w, a.p, least.r, a.np AS gone, b.nt, b.np
     FROM (
-      SELECT n.step, n.w, n.p, n.t, m.r::BIGINT * 4294967296 + n.p AS key
-      FROM (SELECT *, lead(t) OVER (PARTITION BY w ORDER BY p) AS nt FROM s) n LEFT JOIN merges m ON m.a = n.t AND m.b = n.nt
-    ) WINDOW x AS (PARTITION BY w ORDER BY p)
-  ) WHERE best IS NOT NULL AND step < {ROUNDS} AND (before IS NULL OR before <> best % 4294967296)
+      SELECT w, (key % 4294967296)::INTEGER AS p, (key // 4294967296)::INTEGER AS r
+      FROM (SELECT s.w, min(m.r::BIGINT * 4294967296 + s.p) AS key FROM s JOIN merges m ON m.a = s.t AND m.b = s.nt GROUP BY s.w)
+    ) least JOIN s a ON a.w = least.w AND a.p = least.p JOIN s b ON b.w = least.w AND b.p = a.np
+  ) e ON e.w = s.w
+  WHERE s.step < {ROUNDS} AND s.p <> e.gone
 )
 SELECT s.w, s.p, s.t, l.last FROM s JOIN (SELECT w, max(step) AS last FROM s GROUP BY w) l ON l.w = s.w AND l.last = s.step
 ORDER BY s.w, s.p
@@ -76,10 +79,12 @@ class Codec:
         out: list = [None] * len(pieces)
         lengths = np.array([len(p) for p in pieces])
         w = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
-        p = np.arange(len(w), dtype=np.int32) - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(np.int32)
+        p = np.arange(len(w), dtype=np.int32)
         t = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
         while len(w):
-            self._make("start", pa.table({"w": w, "p": p, "t": t}))
+            ends = np.append(w[1:] != w[:-1], True)
+            nt, after = (np.where(ends, -1, np.append(x[1:], -1)).astype(np.int32) for x in (t, p))
+            self._make("start", pa.table({"w": w, "p": p, "t": t, "nt": nt, "np": after}))
             got = self.db.execute(STEP).to_arrow_table()
             w, p, t, last = (got.column(i).to_numpy() for i in range(4))
             done = last < ROUNDS

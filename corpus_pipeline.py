@@ -37,13 +37,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id stays (the first row, where ids repeat or are null)."""
     rows = _numbered(docs)
-    # numbers in the order of doc_id, so that a component's least number is its document with the least id
-    order = rows.select("row", "doc_id").orderBy(F.col("doc_id").asc_nulls_last(), "row")
-    ranked = materialize(order.select("row", F.monotonically_increasing_id().alias("rank")))
-    ranked_rows = rows.join(ranked, "row")
-    groups = near_duplicates(ranked_rows.select(F.col("rank").alias("doc_id"), "text"))
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("rank"))
-    return ranked_rows.join(kept, "rank", "left_semi").select(*COLUMNS)
+    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("m")
+    kept = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(least).select("m.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

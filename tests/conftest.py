@@ -15,7 +15,7 @@ def spark():
 
     with tempfile.TemporaryDirectory() as at:
         s = (
-            SparkSession.builder.master("local[8]")
+            SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', 8)}]")
             .config("spark.sql.shuffle.partitions", "8")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.ui.enabled", "false")

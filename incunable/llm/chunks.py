@@ -72,8 +72,8 @@ def unpack_carry(blob: bytes) -> list | None:
 
 def squeeze(values: np.ndarray) -> bytes:
     """Integers as compressed byte planes."""
-    planes = values.view(np.uint8).reshape(len(values), -1).T
-    return len(values).to_bytes(4, "little") + values.dtype.str[1:].encode() + shrink(np.ascontiguousarray(planes).tobytes())
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return len(values).to_bytes(4, "little") + values.dtype.str[1:].encode() + shrink(planes.tobytes())
 
 
 def unsqueeze(data: bytes) -> np.ndarray:

@@ -10,6 +10,7 @@ from .neighbours import op9_neighbours
 from .quality import op8_quality
 from .simhash import op7_simhash
 from .substring import op5_substring
+from .sql import OP2_SQL, OP3_SQL, OP5_SQL
 from .suffix import op3_suffix_dedup
 from .toxicity import op10_toxicity
 
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL = {"op6_chat_format": OP6_SQL}
+ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op5_substring": OP5_SQL, "op6_chat_format": OP6_SQL}

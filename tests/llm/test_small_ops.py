@@ -127,3 +127,10 @@ def test_neighbours_ties_and_bad_vectors(spark):
     got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=64)
     assert sorted(map(tuple, got.select("query_id", "rank", "vec_id").collect())) == sorted((q, r, i) for q, r, i, _ in exact([x for x in v if x[0] is not None]))
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_sql_matches(spark):
+    from incunable.llm.entry import ORACLE_SQL, QUERIES
+
+    for name in ("op2_decontaminate", "op3_suffix_dedup", "op5_substring"):
+        matches(QUERIES[name](spark, DATA), ORACLE_SQL[name])

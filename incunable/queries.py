@@ -148,7 +148,7 @@ row_query("figure_caption", lambda: k.figure_caption("text"), "regexp_matches(lo
 row_query("looks_list", lambda: k.looks_list("text"), rf"regexp_matches({_strip('text')}, '^[•*–—-]') OR regexp_matches({_strip('text')}, '^\(?\d+[.)]\s+') OR regexp_matches(lower({_strip('text')}), '^[ivxlcdm]+\.\s+')")
 row_query("table_block", lambda: k.table_block("text"), "CASE WHEN contains(text, '|') THEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) >= 2 AND len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT contains(x, '|'))) = 0 ELSE false END")
 row_query("heading_candidate", lambda: k.heading_candidate("text"), f"(WITH x AS (SELECT {_strip('text')} AS t) SELECT length(t) >= 4 AND (length(t) < 60 OR (upper(t) = t AND lower(t) <> t) OR (NOT regexp_matches(t, '[.!?]$') AND length(t) < 120)) FROM x)")
-row_query("valid_heading", lambda: k.valid_heading("text"), f"length({_strip('text')}) BETWEEN 5 AND 200")
+row_query("valid_heading", lambda: k.valid_heading("text"), f"length(replace({_strip('text')}, 'ß', 'SS')) BETWEEN 5 AND 200")  # upper case has it as two letters
 row_query("untranslated", lambda: k.untranslated("text", "translated_text"), "text <> '' AND translated_text = ''")
 row_query("role_v1", lambda: k.role_v1("text", F.lit("paragraph")), rf"CASE WHEN length({_strip('text')}) <= 80 AND NOT regexp_matches({_strip('text')}, '[.!?…]$') AND regexp_matches(lower({_strip('text')}), '^(abstract|summary|keywords|graphical abstract)') THEN 'heading2' ELSE 'paragraph' END")
 row_query("preserve_tokens", lambda: p.preserve_tokens("translated_text", F.array(F.lit("FIG. 1"), F.lit("the"), F.lit("FIG. 1A"), F.lit(" "))), """
@@ -385,7 +385,7 @@ def _page_texts(spark, sf_dir):
 
 
 SQL_PAGES = """, pages_t AS (SELECT book_id, page, string_agg(text, chr(10) ORDER BY "order") AS text FROM blocks WHERE trim(text) <> '' GROUP BY ALL)"""
-SQL_CHAPTERS = SQL_PAGES + f""", cand AS (SELECT *, {_strip("text")} AS t FROM blocks), heads AS (SELECT book_id, page, "order", t FROM cand WHERE length(t) >= 4 AND (length(t) < 60 OR (upper(t) = t AND lower(t) <> t) OR (NOT regexp_matches(t, '[.!?]$') AND length(t) < 120)) AND length(t) BETWEEN 5 AND 200),
+SQL_CHAPTERS = SQL_PAGES + f""", cand AS (SELECT *, {_strip("text")} AS t FROM blocks), heads AS (SELECT book_id, page, "order", t FROM cand WHERE length(t) >= 4 AND (length(t) < 60 OR (upper(t) = t AND lower(t) <> t) OR (NOT regexp_matches(t, '[.!?]$') AND length(t) < 120)) AND length(replace(t, 'ß', 'SS')) BETWEEN 5 AND 200),
 lagged AS (SELECT *, lag(t) OVER (PARTITION BY book_id ORDER BY page, "order") AS before FROM heads),
 chapters AS (SELECT book_id, (row_number() OVER w)::INTEGER AS number, t AS title, page AS page_start, (lead(page) OVER w - 1)::INTEGER AS page_end FROM lagged WHERE before IS NULL OR before <> t WINDOW w AS (PARTITION BY book_id ORDER BY page, "order")),
 last AS (SELECT book_id, max(page) AS last FROM pages_t GROUP BY book_id)"""

@@ -31,8 +31,11 @@ def grow(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
-    """(chunk, bytes, blob): the documents in chunks, each in the order of doc_id (nulls last), with the columns `carry`."""
+def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: tuple = (), extra=None) -> DataFrame:
+    """(chunk, bytes, blob): the documents in chunks, each in the order of doc_id (nulls last), with the columns `carry`.
+
+    extra(bytes, offsets) adds a column of that name, made once from each chunk's texts.
+    """
 
     def run(batches):
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -46,7 +49,8 @@ def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id"
             known = ~np.asarray(ids.is_null())
             more = pa.concat_arrays([x.column(2) for x in held]).take(pa.array(order)).to_pylist() if carry else None
             blob = shrink(pickle.dumps((ids.fill_null(0).to_numpy(), known, offsets, raw.tobytes(), more), 5), 3)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + seq]), pa.array([len(raw)]), pa.array([blob], pa.binary())], names=["chunk", "bytes", "blob"])
+            made = [pa.array([extra(raw, offsets)], pa.binary())] if extra else []
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + seq]), pa.array([len(raw)]), pa.array([blob], pa.binary()), *made], names=["chunk", "bytes", "blob", *["extra"] * bool(extra)])
 
         for batch in batches:
             held.append(batch)
@@ -57,7 +61,7 @@ def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id"
         if any(x.num_rows for x in held):
             yield emit()
 
-    return materialize(id_text(docs, id_col, text_col, carry).mapInArrow(run, "chunk long, bytes long, blob binary"), "none")
+    return materialize(id_text(docs, id_col, text_col, carry).mapInArrow(run, "chunk long, bytes long, blob binary" + ", extra binary" * bool(extra)), "none")
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -135,6 +135,12 @@ def test_lm_is_causal_and_sums_to_one():
     for before in range(c):
         for k in range(c):
             assert abs((10 ** m["log_within"][before][m["class"] == k].astype(float)).sum() - 1) < 1e-4
+    at, begin, end = lm._blocks(first)
+    inputs, usable, target, live = lm._gather(ids, at, begin, end, 30)
+    logits = lm._forward(m, inputs, usable)[-1].astype(float)
+    want = logits[np.arange(len(logits)), m["class"][target].ravel()] - np.log(np.exp(logits).sum(axis=1))
+    got = lm._predict(m, lm._tables(m), inputs, usable, target)
+    assert np.abs(got - want)[live.ravel()].max() < 1e-3
     # the probabilities of every next id after a prefix sum to one, wherever the window begins
     for prefix in ([], [3], list(rng.integers(0, 20, 16)), list(rng.integers(0, 20, 37))):
         base = lm.score(m, np.array(prefix + [0]), np.array([0, len(prefix) + 1]), 30)

@@ -12,6 +12,7 @@ encodings of these short strings are kept in a bounded cache: each distinct stri
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, documents, id_text
 
-CACHE, ROUNDS, WORDS_AT_ONCE, ROWS_AT_ONCE = 400_000, 24, 20_000, 400_000
+CACHE, PIECES, ROUNDS, WORDS_AT_ONCE, ROWS_AT_ONCE = 700_000, 400_000, 24, 20_000, 400_000
 #: The characters with Unicode's White_Space property, which is what the pattern's \s means.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -68,6 +69,8 @@ class Codec:
         self._make("vocab", pa.table({"t": pa.array(list(self.ranks.values()), pa.int32()), "s": [t.decode("latin-1") for t in self.ranks]}))
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, bytes] = {}
+        self.piece_ids: dict[bytes, bytes] = {}
+        self.piece_text: dict[bytes, bytes] = {}
 
     def _make(self, name: str, table: pa.Table) -> None:
         self.db.register("given", table)
@@ -110,22 +113,25 @@ class Codec:
     def learn(self, strings: list[str]) -> None:
         """Put strings that end where a piece ends into the cache, with their ids and what those decode to."""
         cut = [[x.encode() for x in self.pattern.findall(s)] for s in strings]
-        hard = sorted({x for pieces in cut for x in pieces} - self.ranks.keys())
-        known = {}
-        batch, rows = [], 0
+        if len(self.piece_ids) > PIECES:
+            self.piece_ids.clear()
+            self.piece_text.clear()
+        new = {x for pieces in cut for x in pieces} - self.piece_ids.keys()
+        easy = sorted(new & self.ranks.keys())
+        ids = [np.array([self.ranks[x]], np.int32) for x in easy]
+        hard, batch, rows = sorted(new - self.ranks.keys()), [], 0
         for x in [*hard, None]:
             if batch and (x is None or len(batch) >= WORDS_AT_ONCE or rows + len(x) > ROWS_AT_ONCE):
-                known.update(zip(batch, self.merge(batch)))
+                ids += self.merge(batch)
                 batch, rows = [], 0
             if x is not None:
                 batch.append(x)
                 rows += len(x)
-
-        ids = []
-        for pieces in cut:
-            ids.append(np.array([i for x in pieces for i in ((self.ranks[x],) if x in self.ranks else known[x].tolist())], np.uint32))
-        for s, x, back in zip(strings, ids, self.decode(ids)):
-            self.ids[s], self.text[s] = x.tobytes(), back
+        for x, i, back in zip(easy + hard, ids, self.decode(ids)):
+            self.piece_ids[x], self.piece_text[x] = i.astype(np.uint32).tobytes(), back
+        one, back = self.piece_ids.__getitem__, self.piece_text.__getitem__
+        for s, pieces in zip(strings, cut):
+            self.ids[s], self.text[s] = b"".join(map(one, pieces)), b"".join(map(back, pieces))
 
     def split(self, text: str) -> list[str]:
         """Strings that joined are the text; each but the first begins with a space, and a piece begins where it does."""
@@ -153,7 +159,11 @@ class Codec:
             new.update(strings)
         new.difference_update(self.ids)
         if new:
-            self.learn(sorted(new))
+            gc.disable()  # learning makes a great many small objects, none of them in cycles
+            try:
+                self.learn(sorted(new))
+            finally:
+                gc.enable()
         ids, back = self.ids.__getitem__, self.text.__getitem__
         return [(b"".join(map(ids, s)), b"".join(map(back, s))) for s in cut]
 

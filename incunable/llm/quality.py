@@ -49,20 +49,28 @@ def describe(text: bytes, compressors: list) -> np.ndarray:
     return np.array([diff @ share, diff[heavy].min(), diff[heavy].max(), dense @ share, dense[heavy].min(), dense[heavy].max()])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, each halved until the loss falls."""
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + ridge / 2 * (w @ w)
+
+    w, now = np.zeros(x.shape[1]), loss(np.zeros(x.shape[1]))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, x.T @ (p - y) + ridge * w)
-        w -= step
-        if np.abs(step).max() < 1e-9:
+        while (after := loss(w - step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if now - after < 1e-9 * max(1.0, now):
             break
+        w, now = w - step, after
     return w
 
 
 def _expand(f: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = (f - mean) / scale
+    z = np.clip((f - mean) / scale, -4, 4)
     return np.concatenate([np.ones((len(z), 1)), z, z * z], axis=1)
 
 

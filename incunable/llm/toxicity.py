@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, WORDS, buffers, documents, id_text, mix, spans, word_hashes
 
-ALPHA, BETA, L1, L2, EPOCHS, PER_CLASS, MIN_DOCS = 0.1, 1.0, 1.0, 1.0, 4, 4000, 2
+ALPHA, BETA, L1, L2, EPOCHS, PER_CLASS, MIN_DOCS = 0.3, 1.0, 4.0, 1.0, 4, 4000, 3
 SKIPS = (1, 2, 3)
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from helpers import DATA, documents, frame, hard
+from pyspark.sql import functions as F
 
 from incunable.llm import bpe, components, lm, simhash, substring, suffix
 
@@ -124,6 +125,28 @@ def test_lm_baseline_and_probability(spark):
     assert lm.lm_scores(frame(spark, [])).count() == 0
 
 
+COMMON, RARE = "the cat sat on the mat and the dog ran off", "zebra quartz violin jigsaw oxygen puzzle"
+
+
+def per_id(got, doc_id):
+    return next(r["score"] / r["n_ids"] for r in got if r["doc_id"] == doc_id)
+
+
+def test_lm_learns_from_every_training_text(spark):
+    ids = spark.range(2800).where("crc32(cast(cast(id AS string) AS binary)) % 7 != 2").orderBy(F.xxhash64("id"), "id")
+    late = {r["id"] for r in ids.collect()[2000:]}  # beyond the first 2,000 by hash
+    assert len(late) > 300
+    docs = [(i, RARE if i in late else COMMON) for i in range(2800)]
+    got = lm.lm_scores(frame(spark, [*docs, (None, RARE)]), part_windows=700).collect()
+    assert per_id(got, None) > -0.4
+
+
+def test_lm_classes_all_have_ids_that_occur():
+    ids = np.append(np.arange(60).repeat(3), 99)
+    m = lm.train(ids, np.array([0, len(ids)]), 100, classes=12, epochs=1)
+    assert set(m["class"]) == set(m["class"][ids])
+
+
 def test_lm_is_causal_and_sums_to_one():
     rng = np.random.default_rng(2)
     ids = np.concatenate([np.append(rng.integers(0, 20, n), 30) for n in (70, 1, 0, 33)])

@@ -82,6 +82,9 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> dict:
     order = np.lexsort((ids, *vectors.T[::-1]))
     ids, vectors = ids[order], vectors[order]
     new = np.concatenate([[True], (vectors[1:] != vectors[:-1]).any(axis=1)])
+    # a repeated row of one id and vector counts once, before any cut at k
+    once = np.concatenate([[True], new[1:] | (ids[1:] != ids[:-1])])
+    ids, vectors, new = ids[once], vectors[once], new[once]
     offsets = np.append(np.flatnonzero(new), len(ids))
     distinct = vectors[new]
     norms = np.einsum("ij,ij->i", distinct.astype(float), distinct.astype(float))

@@ -148,6 +148,15 @@ def test_neighbours_ties_and_bad_vectors(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [8192, 512])
+def test_neighbours_repeated_rows_count_once(spark, shard_rows):
+    rng = np.random.default_rng(5)
+    v = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(80)]
+    df = spark.createDataFrame(v * 25, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=shard_rows)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id").collect())) == sorted((q, r, i) for q, r, i, _ in exact(v))
+
+
 def test_sql_matches(spark):
     from incunable.llm.entry import ORACLE_SQL, QUERIES
 

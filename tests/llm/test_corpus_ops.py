@@ -141,6 +141,13 @@ def test_lm_learns_from_every_training_text(spark):
     assert per_id(got, None) > -0.4
 
 
+def test_lm_learns_from_texts_behind_a_very_long_one(spark):
+    order = sorted((i for i in range(300) if zlib.crc32(str(i).encode()) % 7 != 2), key=lambda i: zlib.crc32(str(i).encode()))
+    docs = [(i, COMMON * 110_000 if i == order[0] else RARE) for i in range(300)]
+    got = lm.lm_scores(frame(spark, [*docs, (None, RARE)])).collect()
+    assert per_id(got, None) > -1.5
+
+
 def test_lm_classes_all_have_ids_that_occur():
     ids = np.append(np.arange(60).repeat(3), 99)
     m = lm.train(ids, np.array([0, len(ids)]), 100, classes=12, epochs=1)

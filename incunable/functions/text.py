@@ -122,7 +122,7 @@ def language_token(c: Column | str) -> Column:
 
 
 def detection_sample(c: Column | str, most: int = 20_000) -> Column:
-    """What language detection reads: the first characters of a long text."""
+    """What book metadata reads to detect a language: the first characters of a long text."""
     return F.substring(col(c), 1, most)
 
 
@@ -145,8 +145,8 @@ COMMON = {"en": "the of and to in is that for with", "fr": "le la les des et une
 
 
 def detect_language(c: Column | str) -> Column:
-    """The language with the most frequent words in the text's first 20,000 characters; null if none has any (a heuristic)."""
-    words = F.split(F.lower(detection_sample(c)), r"(?U)[^\w]+")
+    """The language with the most frequent words in the whole text; null if none has any (a heuristic)."""
+    words = F.split(F.lower(col(c)), r"(?U)[^\w]+")
     hits = lambda known: F.size(F.filter(words, lambda w: w.isin(*known.split())))
     scored = [F.struct(hits(known).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("lang")) for i, (name, known) in enumerate(COMMON.items())]
     best = F.array_max(F.array(*scored))

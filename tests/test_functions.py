@@ -108,6 +108,10 @@ def test_small_functions(spark):
     assert values(spark, ["ok \u0600\u0601", "a\u00a9", ""], t.clean_model_output("x", F.lit("src"))) == ["src", "src", "src"]
 
 
+def test_detect_language_reads_whole_texts(spark):
+    assert values(spark, ["zzz " * 6000 + "der und die", "the cat " + "zzz " * 6000 + "der und die"], t.detect_language("x")) == ["de", "de"]
+
+
 def test_adapters_and_config(spark):
     adapters.register("shout", adapters.python_adapter(lambda x: x.upper() if x != "bad" else 1 / 0))
     make, model = adapters.adapter("shout:v1")

@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,9 +72,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _VALUES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Odd multipliers and their inverses modulo 2^64.
+#: An odd multiplier for polynomial sums modulo 2^64, and odd ones to chain hashes with.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_GRAM = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+_CHAIN = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+#: The bytes of a lane that a word of so many bytes fills.
+_FILLED = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_WORD = 1024
 
 
 def _inverse(x: np.uint64) -> np.uint64:
@@ -104,13 +108,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _sums(values: np.ndarray, base: np.uint64, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each pair, by one prefix sum."""
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=total[1:])
-    return (total[ends] - total[starts]) * powers(_inverse(base), len(values) + 1)[starts]
-
-
 SPACES = np.ones(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = False
 WORDS = np.zeros(256, bool)
@@ -121,35 +118,68 @@ LOWER[0x41:0x5B] += 0x20
 
 def spans(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs of bytes that `inside` allows) and each document's first word."""
-    is_in = inside[raw]
-    before, after = np.zeros_like(is_in), np.zeros_like(is_in)
-    if len(raw):
-        before[1:], after[:-1] = is_in[:-1], is_in[1:]
-        full = offsets[:-1][np.diff(offsets) > 0]
-        before[full] = False
-        after[full[1:] - 1] = False
-    starts, ends = np.flatnonzero(is_in & ~before), np.flatnonzero(is_in & ~after) + 1
+    is_in = np.take(inside, raw)
+    turns = np.flatnonzero(is_in[1:] != is_in[:-1]) + 1
+    if len(raw) and is_in[0]:
+        turns = np.concatenate([[0], turns])
+    if len(turns) % 2:
+        turns = np.append(turns, len(raw))
+    starts, ends = turns[::2], turns[1::2]
+    # a word that would go on into the next document ends at the border
+    border = np.unique(offsets[(offsets > 0) & (offsets < len(raw))])
+    border = border[is_in[border - 1] & is_in[border]]
+    if len(border):
+        starts, ends = (np.insert(x, np.searchsorted(x, border), border) for x in (starts, ends))
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word; about `at_once` bytes are worked on at a time."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, at_once: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word, independent for each of two values of `which`; about `at_once` bytes are worked on at a time.
+
+    Lanes of eight bytes are mixed in one after another, each by a bijection that is not linear; what is left of a word
+    of over LONG_WORD bytes is hashed by XXH3 instead.
+    """
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
-        base = starts[i]
+        base = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, base + at_once, "right")))
-        out[i:j] = _sums(_VALUES[raw[base : ends[j - 1]]], _BASE, starts[i:j] - base, ends[i:j] - base)
+        part = np.concatenate([raw[base : ends[j - 1]], np.zeros(8, np.uint8)])
+        out[i:j] = _lanes(part, starts[i:j] - base, ends[i:j] - starts[i:j], which)
         i = j
-    return mix(out)
+    return out
+
+
+def _lanes(part: np.ndarray, at: np.ndarray, size: np.ndarray, which: int) -> np.ndarray:
+    lane = np.ndarray(len(part) - 7, np.uint64, part.data, strides=(1,))
+    h = mix((lane[at] & _FILLED[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _CHAIN[which] + _BASE))
+    long, done = np.flatnonzero(size > 8), 8
+    while len(long) and done < LONG_WORD:
+        here = lane[at[long] + done] & _FILLED[np.minimum(size[long] - done, 8)]
+        h[long] = mix((h[long] * _CHAIN[which]) ^ here)
+        done += 8
+        long = long[size[long] > done]
+    for w in long.tolist():
+        h[w] ^= np.uint64(xxhash.xxh3_64_intdigest(part[at[w] + done : at[w] + size[w]].tobytes(), which + 1))
+    return h
 
 
 def gram_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    """Hash of each k consecutive words, len(words) - k + 1 of them (document borders are the caller's)."""
+    """Hash of each k consecutive words, len(words) - k + 1 of them (document borders are the caller's).
+
+    Hashes of 1, 2, 4, ... words are chained to k words, each step a mixing that is not linear.
+    """
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return mix(_sums(words, _GRAM[which], at, at + k))
+    by, run, size, out, done = _CHAIN[which], words, 1, None, 0
+    while True:
+        if k & size:
+            out = mix(run[:n] + by) if out is None else mix((out * by) ^ run[done : done + n])
+            done += size
+            if done == k:
+                return out
+        run = mix((run[:-size] * by) ^ run[size:])
+        size *= 2
 
 
 def within(offsets: np.ndarray, k: int, n: int) -> np.ndarray:

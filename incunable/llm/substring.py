@@ -3,7 +3,7 @@
 Pass one: every chunk counts its windows in a sketch, cells by hash and counters that saturate at two, and sends each
 shard of the cells the ones it has filled (sparse, delta-coded). The shard adds the chunks' sketches up; a merged
 counter is never below a window's true count. Pass two: only windows whose counter reached two, within the chunk or
-after merging, are grouped exactly, by a 128-bit digest, and each group's shard names the chunk that holds its first
+after merging, are grouped exactly, by a 128-bit digest whose halves come from independent hashes of the words, and each group's shard names the chunk that holds its first
 occurrence. Pass three removes what every other occurrence covers. A window that repeats is never lost: its counter is
 two at least.
 """
@@ -28,7 +28,7 @@ def _windows(row: dict, window: int):
     starts, ends, first = spans(raw, offsets, SPACES)
     words = word_hashes(raw, starts, ends)
     at = np.flatnonzero(within(first, window, max(0, len(words) - window + 1)))
-    return ids, known, raw, starts, ends, first, words, at, gram_hashes(words, window)[at]
+    return ids, known, raw, starts, ends, first, at, gram_hashes(words, window)[at]
 
 
 def _cells(hashes: np.ndarray, bits: int, cell_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,11 +52,10 @@ def _repeated(hashes: np.ndarray, answers: dict[int, bytes], bits: int, cell_bit
     return hot[place]
 
 
-def _groups(words: np.ndarray, at: np.ndarray, hashes: np.ndarray, hot: np.ndarray, window: int):
+def _groups(second: np.ndarray, at: np.ndarray, hashes: np.ndarray, hot: np.ndarray):
     """Of the windows that may repeat: places (rising), the distinct digests in order, and each window's digest."""
-    second = gram_hashes(words, window, 1)[at][hot]
     pair = np.empty(int(hot.sum()), [("a", np.uint64), ("b", np.uint64)])
-    pair["a"], pair["b"] = hashes[hot], second
+    pair["a"], pair["b"] = hashes[hot], second[at][hot]
     order = np.lexsort((np.arange(len(pair)), pair["b"], pair["a"]))
     new = np.ones(len(pair), bool)
     new[1:] = (pair["a"][order][1:] != pair["a"][order][:-1]) | (pair["b"][order][1:] != pair["b"][order][:-1])
@@ -67,9 +66,10 @@ def _groups(words: np.ndarray, at: np.ndarray, hashes: np.ndarray, hot: np.ndarr
 
 
 def _parts(words_row: dict, window: int, bits: int, cell_bits: int, answers: dict[int, bytes]):
-    ids, known, raw, starts, ends, first, words, at, hashes = _windows(words_row, window)
+    ids, known, raw, starts, ends, first, at, hashes = _windows(words_row, window)
     hot = _repeated(hashes, answers, bits, cell_bits)
-    return ids, known, raw, starts, ends, first, *_groups(words, at, hashes, hot, window)
+    second = gram_hashes(word_hashes(raw, starts, ends, 1), window, 1)
+    return ids, known, raw, starts, ends, first, *_groups(second, at, hashes, hot)
 
 
 def _merge_cells(cell_bits: int):
@@ -128,7 +128,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         edges = by_shard(pairs["a"], bits)
         for shard in np.flatnonzero(np.diff(edges)):
             s = slice(edges[shard], edges[shard + 1])
-            a, b, o = squeeze_sorted(np.ascontiguousarray(pairs["a"][s])), squeeze((pairs["b"][s] >> np.uint64(16)).astype(np.uint64)), squeeze(np.ascontiguousarray(owner[s]))
+            a, b, o = squeeze_sorted(np.ascontiguousarray(pairs["a"][s])), squeeze(np.ascontiguousarray(pairs["b"][s])), squeeze(np.ascontiguousarray(owner[s]))
             yield int(shard), len(a).to_bytes(4, "little") + len(b).to_bytes(4, "little") + a + b + o
 
     owners = answer(ask(told(chunks.select("chunk", "blob"), counted), digests), _merge_digests, 1 << bits)

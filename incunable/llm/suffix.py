@@ -19,14 +19,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .chunks import answer, ask, by_shard, grow, heard, pack, shard_bits, shrink, squeeze, squeeze_sorted, told, unpack, unpack_carry, unsqueeze, unsqueeze_sorted
-from .common import _BASE, _GRAM, _VALUES, _inverse, carried, documents, mix, powers
+from .common import _BASE, _VALUES, _inverse, carried, documents, mix, powers
 
 LENGTH, GRAM, BLOCK, DEPTH, SUB_SHARD, PER_SHARD, BYTES_PER_SHARD, AT_ONCE = 400, 32, 128, 32, 1 << 17, 1 << 18, 4 << 20, 1 << 20
+PAIR = np.dtype([("a", np.uint64), ("b", np.uint64)])
+_NO_PIECES = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, PAIR))
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -41,8 +44,11 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int, block: int):
-    """First and last window of each piece, its core's hash and its content's hash, over a buffer of texts."""
-    out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2]
+    """First and last window of each piece, its core's hash and its content's 128-bit digest, over a buffer of texts.
+
+    The core's hash only brings pieces together; what is removed rests on the digest or on comparing bytes.
+    """
+    out = [_NO_PIECES]
     docs, d = len(offsets) - 1, 0
     while d < docs:
         stop = max(d + 1, int(np.searchsorted(offsets, offsets[d] + AT_ONCE, "right")) - 1)
@@ -58,7 +64,7 @@ def _pieces(raw: np.ndarray, first: np.ndarray, length: int, gram: int, block: i
     room = np.diff(first) - length + 1
     has = room > 0
     if not has.any():
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return _NO_PIECES
     step = np.zeros(n + 1, np.int32)
     np.add.at(step, first[:-1][has], 1)
     np.add.at(step, first[:-1][has] + room[has], -1)
@@ -78,10 +84,10 @@ def _pieces(raw: np.ndarray, first: np.ndarray, length: int, gram: int, block: i
     anchor, where = anchor[head], where[head]
     core = anchor - where * block
     keys = mix((total[core + length - block + 1] - total[core]) * inverse[core] + where.astype(np.uint64))
-    second, undo = np.zeros(n + 1, np.uint64), powers(_inverse(_GRAM[1]), n + 1)
-    np.cumsum(mix(values) * powers(_GRAM[1], n), out=second[1:])
-    content = mix((second[hi + length] - second[lo]) * undo[lo] + (anchor - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (hi - lo).astype(np.uint64))
-    return lo, hi, keys, content
+    data, content = raw.tobytes(), np.empty((len(head), 2), np.uint64)
+    digest = xxhash.xxh3_128_digest
+    content[:] = np.frombuffer(b"".join([digest(data[a:b], s) for a, b, s in zip(lo.tolist(), (hi + length).tolist(), (anchor - lo).tolist())]), np.uint64).reshape(-1, 2)
+    return lo, hi, keys, content.view(PAIR).ravel()
 
 
 def repeated_windows(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int = LENGTH, depth: int = DEPTH, sub_shard: int = SUB_SHARD) -> np.ndarray:
@@ -158,7 +164,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
         """The chunk's pieces and the distinct ones among them, by (core, content)."""
         ids, known, offsets, raw = unpack(row["blob"])
         lo, hi, keys, content = pieces(raw, offsets, length, gram, block)
-        order = np.lexsort((content, keys))
+        order = np.lexsort((content["b"], content["a"], keys))
         new = np.ones(len(order), bool)
         new[1:] = (keys[order][1:] != keys[order][:-1]) | (content[order][1:] != content[order][:-1])
         which = np.empty(len(order), np.int64)
@@ -172,7 +178,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
         edges = by_shard(keys, bits)
         for shard in np.flatnonzero(np.diff(edges)):
             s = slice(edges[shard], edges[shard + 1])
-            a, b = squeeze_sorted(keys[s]), squeeze(content[s])
+            a, b = squeeze_sorted(keys[s]), squeeze(content[s].view(np.uint64))
             yield int(shard), len(a).to_bytes(4, "little") + len(b).to_bytes(4, "little") + a + b + np.packbits(twice[s]).tobytes()
 
     def merge(chunk_ids, payloads):
@@ -181,9 +187,9 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
             x, y = (int.from_bytes(p[j : j + 4], "little") for j in (0, 4))
             keys = unsqueeze_sorted(p[8 : 8 + x])
             twice = np.unpackbits(np.frombuffer(p[8 + x + y :], np.uint8), count=len(keys))
-            parts.append((keys, unsqueeze(p[8 + x : 8 + x + y]), twice, np.full(len(keys), i, np.int32)))
+            parts.append((keys, unsqueeze(p[8 + x : 8 + x + y]).view(PAIR), twice, np.full(len(keys), i, np.int32)))
         keys, content, twice, which = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((which, content, keys))
+        order = np.lexsort((which, content["b"], content["a"], keys))
         k, c = keys[order], content[order]
         new_key = np.ones(len(k), bool)
         new_key[1:] = k[1:] != k[:-1]

@@ -8,7 +8,7 @@ import pytest
 from helpers import DATA, documents, frame, hard
 from pyspark.sql import functions as F
 
-from incunable.llm import bpe, components, lm, simhash, substring, suffix
+from incunable.llm import bpe, common, components, lm, simhash, substring, suffix
 
 KEY = lambda r: tuple(map(str, r))
 
@@ -85,6 +85,44 @@ def test_substring_matches_plain(spark, chunk):
     assert substring.dedup_windows(frame(spark, [])).count() == 0
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+def test_substring_tells_thue_morse_words_apart(spark):
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = [(1, f"{thue_morse(1024, 'a', 'b')} {rest}"), (2, f"{thue_morse(1024, 'b', 'a')} {rest}")]
+    # sequences of words of the same kind, over windows that are longer than such a sequence
+    one, two = thue_morse(16, "x ", "y "), thue_morse(16, "y ", "x ")
+    docs += [(3, one + "a b c d"), (4, two + "a b c d"), (5, one + "a b c d")]
+    got = {r["doc_id"]: r["n_removed"] for r in substring.dedup_windows(frame(spark, docs)).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 20}
+
+
+def test_suffix_tells_thue_morse_bytes_apart(spark):
+    docs = [(i, "z" * 300 + thue_morse(n, *ab) + "z" * 300) for i, (n, ab) in enumerate([(512, "ab"), (512, "ba"), (1024, "ab"), (1024, "ba")])]
+    got = suffix.dedup_bytes(frame(spark, docs))
+    rows = got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, rows), key=KEY) == sorted(plain_bytes(docs, 400), key=KEY)
+
+
+def test_word_hashes_follow_the_words():
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in [*range(1, 40), 8, 8, 9, 1023, 1024, 1025, 3000] for _ in range(6)]
+    words += words[::3] + [b"a\0", b"a", b"a\0\0"]
+    raw = np.frombuffer(b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    one, two = common.word_hashes(raw, starts, ends, at_once=100), common.word_hashes(raw, starts, ends, 1)
+    for h in (one, two):
+        assert len({*zip(words, h.tolist())}) == len({*words}) == len({*h.tolist()})
+    assert not {*one.tolist()} & {*two.tolist()}
+    for k in (1, 2, 5, 10, 19, 20):
+        grams = common.gram_hashes(one, k)
+        windows = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+        assert len(grams) == len(windows) and len({*zip(windows, grams.tolist())}) == len({*windows}) == len({*grams.tolist()})
+
+
 def tokens(texts):
     import tiktoken
 

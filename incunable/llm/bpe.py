@@ -59,8 +59,9 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 def expand(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """flat[start : start + size] of each pair, one after another."""
     total = np.cumsum(sizes)
-    at = np.arange(total[-1] if len(total) else 0)
-    at += np.repeat(starts - (total - sizes), sizes)
+    kind = np.int32 if max(len(flat), total[-1] if len(total) else 0) < 1 << 31 else np.int64
+    at = np.arange(total[-1] if len(total) else 0, dtype=kind)
+    at += np.repeat((starts - (total - sizes)).astype(kind), sizes)
     return flat[at]
 
 
@@ -97,8 +98,11 @@ class Kept:
         self.one, self.two, self.sizes, self.flat = (np.concatenate(x) for x in ((self.one, one), (self.two, two), (self.sizes, sizes), (self.flat, flat)))
 
 
-def _resolve(kept: Kept, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the strings raw[start:end], one after another, and their numbers; learn(starts, ends) gives those of new ones."""
+def resolve(kept: Kept, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the strings raw[start:end], one after another, and how many each has; learn(starts, ends) gives those of new ones.
+
+    Then a hash of each distinct string, and each string's place among these.
+    """
     one, two = word_hashes(raw, starts, ends), word_hashes(raw, starts, ends, 1)
     rep, code = distinct(one, two)
     at = kept.find(one[rep], two[rep])
@@ -111,7 +115,7 @@ def _resolve(kept: Kept, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray,
         begin[~old], sizes[~old] = len(flat) + np.cumsum(n) - n, n
         flat = np.concatenate([flat, ids])
         kept.add(one[new], two[new], n, ids)
-    return expand(flat, begin[code], sizes[code]), sizes[code]
+    return expand(flat, begin[code], sizes[code]), sizes[code], one[rep], code
 
 
 class Codec:
@@ -186,7 +190,7 @@ class Codec:
             at += size
         long = np.array(list(map(len, map(str.encode, pieces))), np.int64)
         stop = np.cumsum(long)
-        ids, many = _resolve(self.pieces, joined, stop - long, stop, lambda a, b: self.learn_pieces(joined, a, b))
+        ids, many, *_ = resolve(self.pieces, joined, stop - long, stop, lambda a, b: self.learn_pieces(joined, a, b))
         # pieces to strings: each string ends where a piece ends
         last = np.searchsorted(stop, np.cumsum(sizes))
         total = np.concatenate([[0], np.cumsum(many)])[last + 1]
@@ -208,7 +212,7 @@ class Codec:
             full = offsets[:-1][np.diff(offsets) > 0]
             starts = np.sort(np.concatenate([full, space]))
             ends = np.append(starts[1:], len(raw)) if len(starts) else starts
-            ids, sizes = _resolve(self.strings, raw, starts, ends, lambda a, b: self.learn_strings(raw, a, b))
+            ids, sizes, *_ = resolve(self.strings, raw, starts, ends, lambda a, b: self.learn_strings(raw, a, b))
             return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)]
         finally:
             gc.enable()

@@ -31,11 +31,14 @@ def grow(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: tuple = (), extra=None) -> DataFrame:
+def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text", carry: tuple = (), made: str = "", make=None) -> DataFrame:
     """(chunk, bytes, blob): the documents in chunks, each in the order of doc_id (nulls last), with the columns `carry`.
 
-    extra(bytes, offsets) adds a column of that name, made once from each chunk's texts.
+    Where `made` names columns with their types, make(doc_ids, known, raw, offsets) gives their values once for each
+    chunk, and the texts themselves are not kept.
     """
+    names = [x.split()[0] for x in made.split(", ")] if made else []
+    types = [pa.int64() if x.split()[1] == "long" else pa.binary() for x in made.split(", ")] if made else []
 
     def run(batches):
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -48,9 +51,10 @@ def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id"
             raw, offsets = buffers(texts)
             known = ~np.asarray(ids.is_null())
             more = pa.concat_arrays([x.column(2) for x in held]).take(pa.array(order)).to_pylist() if carry else None
-            blob = shrink(pickle.dumps((ids.fill_null(0).to_numpy(), known, offsets, raw.tobytes(), more), 5), 3)
-            made = [pa.array([extra(raw, offsets)], pa.binary())] if extra else []
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + seq]), pa.array([len(raw)]), pa.array([blob], pa.binary()), *made], names=["chunk", "bytes", "blob", *["extra"] * bool(extra)])
+            ids = ids.fill_null(0).to_numpy()
+            blob = shrink(pickle.dumps((ids, known, offsets, b"" if make else raw.tobytes(), more), 5), 3)
+            values = make(ids, known, raw, offsets) if make else []
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + seq]), pa.array([len(raw)]), pa.array([blob], pa.binary()), *(pa.array([v], t) for v, t in zip(values, types))], names=["chunk", "bytes", "blob", *names])
 
         for batch in batches:
             held.append(batch)
@@ -61,7 +65,7 @@ def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id"
         if any(x.num_rows for x in held):
             yield emit()
 
-    return materialize(id_text(docs, id_col, text_col, carry).mapInArrow(run, "chunk long, bytes long, blob binary" + ", extra binary" * bool(extra)), "none")
+    return materialize(id_text(docs, id_col, text_col, carry).mapInArrow(run, "chunk long, bytes long, blob binary" + (f", {made}" if made else "")), "none")
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +110,7 @@ def by_shard(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 QUESTION = "shard int, chunk long, payload binary"
-ANSWER = "chunk long, shard int, payload binary"
+ANSWER = "chunk long, shard int, payload binary, tally long"
 
 
 def ask(chunks: DataFrame, questions) -> DataFrame:
@@ -124,17 +128,25 @@ def ask(chunks: DataFrame, questions) -> DataFrame:
 
 
 def answer(questions: DataFrame, merge, shards: int) -> DataFrame:
-    """merge(chunks, payloads) of one shard gives the payload for each chunk, or None."""
+    """merge(chunks, payloads) of one shard gives the payload for each chunk, or None; with a `tally` attribute of it, that of the shard too."""
 
     def run(key, table):
         chunks, payloads = table.column("chunk").to_pylist(), table.column("payload").to_pylist()
         order = sorted(range(len(chunks)), key=chunks.__getitem__)
-        out = [(chunks[i], p) for i, p in zip(order, merge([chunks[i] for i in order], [payloads[i] for i in order])) if p is not None]
-        return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "shard": pa.array([key[0].as_py()] * len(out), pa.int32()), "payload": pa.array([p for _, p in out], pa.binary())})
+        made = merge([chunks[i] for i in order], [payloads[i] for i in order])
+        out = [(chunks[i], p) for i, p in zip(order, made) if p is not None]
+        tally = [getattr(made, "tally", 0)] + [0] * max(0, len(out) - 1)
+        return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "shard": pa.array([key[0].as_py()] * len(out), pa.int32()), "payload": pa.array([p for _, p in out], pa.binary()), "tally": pa.array(tally[: len(out)], pa.int64())})
 
     return materialize(questions.repartition(min(shards, TASKS), "shard").groupBy("shard").applyInArrow(run, ANSWER))
 
 
+class Answers(list):
+    """A shard's answers with a number that the driver may sum over all shards."""
+
+    tally = 0
+
+
 def told(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
     """The chunks with all answers they got: column told, an array of (round, shard, payload)."""
     rows = [a.select("chunk", F.struct(F.lit(i).alias("round"), "shard", "payload").alias("x")) for i, a in enumerate(answers)]

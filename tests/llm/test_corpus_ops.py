@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -163,6 +164,16 @@ def test_lm_baseline_and_probability(spark):
     assert lm.lm_scores(frame(spark, [])).count() == 0
 
 
+def held_out(r):
+    return r["held_out"] and r["doc_id"] is not None
+
+
+@pytest.mark.parametrize("at", ["sf0.01", "sf0.1"])
+def test_lm_beats_the_base_on_held_out_texts(spark, at):
+    got = lm.op1_lm_score(spark, f"/root/testdata/{at}").where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert got["score"] > got["base"]
+
+
 COMMON, RARE = "the cat sat on the mat and the dog ran off", "zebra quartz violin jigsaw oxygen puzzle"
 
 
@@ -175,7 +186,7 @@ def test_lm_learns_from_every_training_text(spark):
     late = {r["id"] for r in ids.collect()[2000:]}  # beyond the first 2,000 by hash
     assert len(late) > 300
     docs = [(i, RARE if i in late else COMMON) for i in range(2800)]
-    got = lm.lm_scores(frame(spark, [*docs, (None, RARE)]), part_windows=700).collect()
+    got = lm.lm_scores(frame(spark, [*docs, (None, RARE)])).collect()
     assert per_id(got, None) > -0.4
 
 
@@ -186,35 +197,114 @@ def test_lm_learns_from_texts_behind_a_very_long_one(spark):
     assert per_id(got, None) > -1.5
 
 
+def test_lm_every_text_gives_a_window_and_at_every_1_each_id_is_in_one():
+    rng = np.random.default_rng(4)
+    lengths = np.array([1, 5, 32, 33, 64, 700, 31])
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    ids = rng.integers(0, 50, first[-1]).astype(np.int32)
+    rows, real = lm.windows_of(ids, first, np.zeros(7, np.int64), 1, 99)
+    assert real.sum() == len(ids)
+    assert np.concatenate([r[1 : 1 + n] for r, n in zip(rows, real)]).tolist() == ids.tolist()
+    assert [r[0] for r in rows] == [99 if p in first else ids[p - 1] for p in np.concatenate([np.arange(a, b, 32) for a, b in zip(first, first[1:])])]
+    for every in (2, 8):
+        rows, real = lm.windows_of(ids, first, rng.integers(0, 1000, 7), every, 99)
+        n = -(-lengths // 32)
+        assert (n / every - 1 < len(rows)).all() and len(rows) >= 7
+    assert len(lm.windows_of(ids[:0], np.zeros(1, np.int64), np.zeros(0, np.int64), 8, 99)[0]) == 0
+
+
+def test_lm_pair_counts():
+    rng = np.random.default_rng(6)
+    ids = rng.integers(0, 20, 500).astype(np.int32)
+    first = np.array([0, 100, 101, 500])
+    want = Counter((99 if i in (0, 100, 101) else int(ids[i - 1]), int(x)) for i, x in enumerate(ids))
+    keys, times = lm.pair_counts(ids, first, 99)
+    assert {(k // 100, k % 100): n for k, n in zip(keys.tolist(), times.tolist())} == want
+    wide = np.arange(9000, dtype=np.int32)
+    assert len(lm.pair_counts(wide, np.array([0, 9000]), 9999)[0]) == 9000
+
+
+def small_model():
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([np.append(rng.integers(0, 20, n), 30) for n in (70, 1, 0, 33, 400)]).astype(np.int32)
+    first = np.array([0, 71, 73, 74, 108, 509])
+    return lm.train(ids, first, 31, classes=8, every=1), ids, first
+
+
+def plain_score(m, ids):
+    """log10 probability of one text by loops in double precision, window by window as the module's head says."""
+    f = {k: np.asarray(v, float) for k, v in m.items()}
+    d, vocab = f["embed"].shape[1], len(m["class"])
+    kept = dict(zip(m["keys"].tolist(), f["kept"]))
+    before = [vocab - 1, *ids[:-1]]
+    q, k, v, s = (f["embed"] @ f["w"][:, i * d : (i + 1) * d] for i in range(4))
+    total = 0.0
+    for t, x in enumerate(ids):
+        start = max(0, t - t % lm.STRIDE - lm.STRIDE)
+        at = range(start, t + 1)
+        a = np.array([math.exp(q[before[t]] @ k[before[j]] + f["rel"][t - j]) for j in at])
+        h = sum(w * v[before[j]] for w, j in zip(a / a.sum(), at)) + s[before[t]]
+        add = h / (1 + np.abs(h)) @ f["wo"] + f["bo"]
+        after = f["class_after"][before[t]]
+        p_class = np.exp(add + after) / np.exp(add + after).sum()
+        c = int(m["class"][x])
+        p_pair = kept.get(before[t] * vocab + x, f["alone"][x] - f["less"][before[t]])
+        total += math.log10(p_class[c]) + (p_pair - after[c]) / math.log(10)
+    return total
+
+
+def test_lm_score_matches_plain():
+    m, ids, first = small_model()
+    rng = np.random.default_rng(9)
+    ids = np.concatenate([ids, rng.integers(0, 31, 60)]).astype(np.int32)
+    first = np.append(first, len(ids))
+    got = lm.Scorer(m).score(ids, first, at_once=3)
+    want = [plain_score(m, ids[a:b].tolist()) for a, b in zip(first, first[1:])]
+    assert np.abs(got - want).max() < 1e-2 and np.abs(got / want - 1).max() < 1e-4
+    # few kept pairs: the others go by the id alone
+    counts = np.bincount(ids, minlength=31)
+    keys, times = lm.pair_counts(ids, first, 30)
+    top = np.argsort(-times, kind="stable")[:10]
+    few = lm.untrained(counts, keys[top], times[top], classes=8)
+    want = [plain_score(few, ids[a:b].tolist()) for a, b in zip(first, first[1:])]
+    assert np.abs(lm.Scorer(few).score(ids, first) / want - 1).max() < 1e-4
+
+
+def test_lm_sums_to_one():
+    m, _, _ = small_model()
+    scorer, rng = lm.Scorer(m), np.random.default_rng(3)
+    for prefix in ([], [3], list(rng.integers(0, 20, 16)), list(rng.integers(0, 20, 37))):
+        n = len(prefix)
+        ids = np.concatenate([[*prefix, i] for i in range(31)]).astype(np.int32)
+        each = scorer.score(ids, np.arange(32) * (n + 1))
+        base = scorer.score(np.array(prefix, np.int32), np.array([0, n]))[0] if n else 0.0
+        assert abs((10 ** (each - base)).sum() - 1) < 1e-3
+
+
 def test_lm_classes_all_have_ids_that_occur():
-    ids = np.append(np.arange(60).repeat(3), 99)
-    m = lm.train(ids, np.array([0, len(ids)]), 100, classes=12, epochs=1)
+    ids = np.append(np.arange(60).repeat(3), 99).astype(np.int32)
+    m = lm.train(ids, np.array([0, len(ids)]), 100, classes=12)
     assert set(m["class"]) == set(m["class"][ids])
 
 
-def test_lm_is_causal_and_sums_to_one():
-    rng = np.random.default_rng(2)
-    ids = np.concatenate([np.append(rng.integers(0, 20, n), 30) for n in (70, 1, 0, 33)])
-    first = np.array([0, 71, 73, 74, 108])
-    m = lm.train(ids, first, 31, classes=8, epochs=1)
-    c = int(m["class"].max()) + 1
-    table = np.zeros((c, 31))
-    m["log_within"] = lm.within_class(m, table)
-    for before in range(c):
-        for k in range(c):
-            assert abs((10 ** m["log_within"][before][m["class"] == k].astype(float)).sum() - 1) < 1e-4
-    at, begin, end = lm._blocks(first)
-    inputs, usable, target, live = lm._gather(ids, at, begin, end, 30)
-    logits = lm._forward(m, inputs, usable)[-1].astype(float)
-    want = logits[np.arange(len(logits)), m["class"][target].ravel()] - np.log(np.exp(logits).sum(axis=1))
-    got = lm._predict(m, lm._tables(m), inputs, usable, target)
-    assert np.abs(got - want)[live.ravel()].max() < 1e-3
-    # the probabilities of every next id after a prefix sum to one, wherever the window begins
-    for prefix in ([], [3], list(rng.integers(0, 20, 16)), list(rng.integers(0, 20, 37))):
-        base = lm.score(m, np.array(prefix + [0]), np.array([0, len(prefix) + 1]), 30)
-        probs = [10 ** (lm.score(m, np.array([*prefix, i]), np.array([0, len(prefix) + 1]), 30)[0] - base[0]) for i in range(31)]
-        first_id = 10 ** (base[0] - (lm.score(m, np.array(prefix), np.array([0, len(prefix)]), 30)[0] if prefix else 0))
-        assert abs(sum(probs) * first_id - 1) < 1e-3
+def test_lm_scores_are_the_models(spark):
+    """The query's rows are what its model gives each text's words and end."""
+    docs = [*documents().items(), *hard()]
+    corpus = lm.Corpus(frame(spark, docs))
+    m = corpus.model()
+    got = Counter((r["doc_id"], r["n_ids"], round(r["score"], 2)) for r in corpus.scores(m).collect())
+    path, pattern = bpe.defaults()
+    with open(path, "rb") as f:
+        coder = lm.Ids(f.read(), pattern).coder
+    low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    white = " \t\n\x0b\x0c\r"
+    texts = [re.split(f"[{white}]+", (t or "").translate(low).strip(white)) for _, t in docs]
+    ids = [np.array([x for w in words if w for x in coder.encode_ordinary(" " + w)] + [corpus.vocab - 1], np.int32) for words in texts]
+    scorer = lm.Scorer(m)
+    want = Counter((i, len(x), round(float(scorer.score(x, np.array([0, len(x)]))[0]), 2)) for (i, _), x in zip(docs, ids))
+    near = lambda c: sorted(c.elements(), key=str)
+    for a, b in zip(near(got), near(want)):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) <= 0.011 + 1e-6 * abs(a[2])
 
 
 def plain_simhash(docs):

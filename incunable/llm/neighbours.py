@@ -1,10 +1,11 @@
 """Nearest neighbours by inner product: a hierarchical navigable small-world graph for each shard, results merged.
 
 Vectors are dealt into shards of about `shard_rows` by a hash of their id. A shard keeps each distinct vector once (with
-the ids that have it), lifts inner product to distance by one more coordinate, and builds the graph as if the vectors
-were inserted one after another, each linked to a varied choice of its nearest predecessors; neighbours are flat int32
-arrays, one for each level. Queries come in blocks; each block meets each shard once, all its queries walking the graph
-together. The nearest found are scored again in double precision on the original vectors.
+the ids that have it), lifts inner product to distance by one more coordinate, and inserts the vectors into its graph one
+batch after another: each searches the graph as it stands, from the top level down, links to a varied choice of what it
+found (and of the batch's earlier vectors), and the linked ones prune their links alike. Batches grow with the graph.
+Neighbours are flat int32 arrays, one for each level. Queries come in blocks; each block meets each shard once, all its
+queries walking the graph together. The nearest found are scored again in double precision on the original vectors.
 """
 
 from __future__ import annotations
@@ -16,68 +17,164 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .chunks import TASKS
 from .common import materialize, tuned
 
-SHARD_ROWS, BLOCK_QUERIES, M, EF, K, TRIED = 8192, 512, 16, 120, 20, 64
+SHARD_ROWS, BLOCK_QUERIES, M, EF, EF_BUILD, K, AT_ONCE, WIDE = 8192, 512, 16, 200, 100, 20, 256, 16
 
 
-def _varied(x: np.ndarray, base: np.ndarray, cand: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
+def _varied(x: np.ndarray, cand: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
     """Of each row's candidates (nearest first, -1 for none), those nearer to the row than to any already chosen; then the nearest of the rest."""
     n, c = cand.shape
     out = np.full((n, most), -1, np.int32)
-    for s in range(0, n, 1024):
-        at = cand[s : s + 1024]
+    for s in range(0, n, 256):
+        at = cand[s : s + 256]
         v = x[np.maximum(at, 0)]
         between = v @ v.transpose(0, 2, 1)
-        rows = np.arange(len(at))
-        chosen = np.zeros(at.shape, bool)
-        count = np.zeros(len(at), int)
+        closer = between > near[s : s + 256, :, None]  # [i, j, k]: candidate j is nearer to candidate k than to the row
+        chosen, count = np.zeros(at.shape, bool), np.zeros(len(at), int)
         for j in range(c):
-            blocked = ((between[:, j, :] > near[s : s + 1024, j, None]) & chosen).any(axis=1)
-            ok = (at[:, j] >= 0) & ~blocked & (count < most)
+            ok = (at[:, j] >= 0) & ~(closer[:, j, :] & chosen).any(axis=1) & (count < most)
             chosen[:, j] = ok
             count += ok
         rank = np.where(chosen, 0, 1) * c + np.arange(c)
         rank[at < 0] = 3 * c
         pick = np.argsort(rank, axis=1, kind="stable")[:, :most]
-        got = at[rows[:, None], pick]
-        out[s : s + 1024, : got.shape[1]] = got
+        got = np.take_along_axis(at, pick, axis=1)
+        out[s : s + 256, : got.shape[1]] = got
     return out
 
 
-def _level(x: np.ndarray, nodes: np.ndarray, links: int, most: int) -> np.ndarray:
-    """Neighbours (as places in x) of the nodes of one level, inserted in the order given."""
-    y, n = x[nodes], len(nodes)
-    tried = min(TRIED, max(1, n - 1))
-    cand, near = np.full((n, tried), -1, np.int32), np.full((n, tried), -np.inf, np.float32)
-    for s in range(0, n, 512):
-        sims = y[s : s + 512] @ y[: s + 512].T
-        sims[np.arange(sims.shape[1])[None, :] >= np.arange(s, s + len(sims))[:, None]] = -np.inf
-        k = min(tried, sims.shape[1])
-        top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        val = np.take_along_axis(sims, top, axis=1)
-        order = np.argsort(-val, axis=1)
-        top, val = np.take_along_axis(top, order, axis=1), np.take_along_axis(val, order, axis=1)
-        cand[s : s + 512, :k] = np.where(np.isfinite(val), top, -1)
-        near[s : s + 512, :k] = val
-    forward = _varied(y, y, cand, near, links)
-    a, b = np.nonzero(forward >= 0)[0], forward[forward >= 0]
-    u, v = np.concatenate([a, b]), np.concatenate([b, a])
-    if not len(u):
-        return np.full((n, most), -1, np.int32)
-    sim = np.einsum("ij,ij->i", y[u], y[v])
+def _best(cand: np.ndarray, near: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's `keep` nearest candidates, nearest first."""
+    order = np.argsort(-near, axis=1, kind="stable")[:, :keep]
+    return np.take_along_axis(cand, order, axis=1), np.take_along_axis(near, order, axis=1)
+
+
+def _greedy(x: np.ndarray, level: tuple, q: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """From a place for each query, step to the nearest neighbour while that is nearer."""
+    place, graph = level
+    now, best, moving = now.copy(), np.einsum("ij,ij->i", x[now], q), np.arange(len(q))
+    while len(moving):
+        near = graph[place[now[moving]]]
+        sims = np.where(near >= 0, np.einsum("ijk,ik->ij", x[np.maximum(near, 0)], q[moving]), -np.inf)
+        j = sims.argmax(axis=1)
+        rows = np.arange(len(moving))
+        better = sims[rows, j] > best[moving]
+        moving, to, sim = moving[better], near[rows, j][better], sims[rows, j][better]
+        now[moving], best[moving] = to, sim
+    return now
+
+
+def _beam(x: np.ndarray, level: tuple, q: np.ndarray, now: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ef nearest places (-1 for none) that a search of one level from a place for each query meets, nearest first."""
+    (place, graph), rows = level, np.arange(len(q))
+    seen = np.zeros((len(q), len(x)), bool)
+    seen[rows, now] = True
+    ids, val, done = np.full((len(q), ef), -1, np.int32), np.full((len(q), ef), -np.inf, np.float32), np.ones((len(q), ef), bool)
+    ids[:, 0], val[:, 0], done[:, 0] = now, np.einsum("ij,ij->i", x[now], q), False
+    active, wide = rows, min(WIDE, ef)
+    while len(active):
+        open_val = np.where(done[active], -np.inf, val[active])
+        pick = np.argpartition(-open_val, wide - 1, axis=1)[:, :wide]
+        ok = np.isfinite(np.take_along_axis(open_val, pick, axis=1))
+        live = ok.any(axis=1)
+        active, pick, ok = active[live], pick[live], ok[live]
+        if not len(active):
+            break
+        done[active[:, None], pick] |= ok
+        near = graph[place[np.maximum(ids[active[:, None], pick], 0)]]
+        near = np.where(ok[:, :, None], near, -1).reshape(len(active), -1)
+        r, c = np.nonzero(near >= 0)
+        to = near[r, c]
+        fresh = ~seen[active[r], to]
+        r, c, to = r[fresh], c[fresh], to[fresh]
+        seen[active[r], to] = True
+        sims = np.full(near.shape, -np.inf, np.float32)
+        sims[r, c] = np.einsum("ij,ij->i", x[to], q[active[r]])
+        # a place that two of the expanded ones link to is kept once
+        key = r.astype(np.int64) * len(x) + to
+        _, first = np.unique(key, return_index=True)
+        twice = np.ones(len(key), bool)
+        twice[first] = False
+        sims[r[twice], c[twice]] = -np.inf
+        worst = val[active].min(axis=1, keepdims=True)
+        sims[sims <= worst] = -np.inf
+        all_ids = np.concatenate([ids[active], near], axis=1)
+        all_val = np.concatenate([val[active], sims], axis=1)
+        all_done = np.concatenate([done[active], sims == -np.inf], axis=1)
+        top = np.argpartition(-all_val, ef - 1, axis=1)[:, :ef]
+        ids[active], val[active], done[active] = (np.take_along_axis(a, top, axis=1) for a in (all_ids, all_val, all_done))
+    return _best(np.where(np.isfinite(val), ids, -1), val, ef)
+
+
+def _link(x: np.ndarray, level: tuple, nodes: np.ndarray, links: np.ndarray) -> None:
+    """Set the links of new nodes and add them to those that they link to, pruned to what a row holds."""
+    place, graph = level
+    most = graph.shape[1]
+    graph[place[nodes], : links.shape[1]] = links
+    r, c = np.nonzero(links >= 0)
+    if not len(r):
+        return
+    u, v = links[r, c], nodes[r].astype(np.int32)
+    sim = np.einsum("ij,ij->i", x[u], x[v])
     order = np.lexsort((-sim, u))
     u, v, sim = u[order], v[order], sim[order]
-    at = np.arange(len(u)) - np.searchsorted(u, u)
-    width = min(int(at.max()) + 1, 2 * TRIED)
-    keep = at < width
-    cand, near = np.full((n, width), -1, np.int32), np.full((n, width), -np.inf, np.float32)
-    cand[u[keep], at[keep]], near[u[keep], at[keep]] = v[keep], sim[keep]
-    out = _varied(y, y, cand, near, most)
-    return np.where(out >= 0, nodes[np.maximum(out, 0)], -1).astype(np.int32)
+    met, start = np.unique(u, return_index=True)
+    rank = np.arange(len(u)) - np.repeat(start, np.diff(np.append(start, len(u))))
+    width = min(int(rank.max()) + 1, 2 * most)  # of new links to one node the nearest are tried
+    keep = rank < width
+    row = np.searchsorted(met, u)
+    cand, near = np.full((len(met), most + width), -1, np.int32), np.full((len(met), most + width), -np.inf, np.float32)
+    cand[:, :most] = have = graph[place[met]]
+    near[:, :most] = np.where(have >= 0, np.einsum("ijk,ik->ij", x[np.maximum(have, 0)], x[met]), -np.inf)
+    cand[row[keep], most + rank[keep]], near[row[keep], most + rank[keep]] = v[keep], sim[keep]
+    cand, near = _best(cand, near, cand.shape[1])
+    full = (cand >= 0).sum(axis=1) > most
+    graph[place[met[~full]]] = cand[~full, :most]
+    if full.any():
+        graph[place[met[full]]] = _varied(x, cand[full], near[full], most)
+
+
+def _insert(x: np.ndarray, height: np.ndarray, order: np.ndarray) -> tuple[list, int]:
+    """The levels, as (row of each node, neighbours of each row), and the entry, after inserting all nodes in the order given."""
+    levels = []
+    for h in range(int(height.max()) + 1):
+        nodes = np.flatnonzero(height >= h)
+        place = np.full(len(x), -1, np.int32)
+        place[nodes] = np.arange(len(nodes))
+        levels.append((place, np.full((len(nodes), 2 * M if h == 0 else M), -1, np.int32)))
+    entry, top, done = int(order[0]), int(height[order[0]]), 1
+    while done < len(order):
+        batch = order[done : done + min(AT_ONCE, done)]
+        q, rise = x[batch], height[batch]
+        among = q @ q.T
+        among[np.triu_indices(len(batch))] = -np.inf  # the batch's earlier nodes are candidates too
+        now = np.full(len(batch), entry)
+        for h in range(max(top, int(rise.max())), -1, -1):
+            joins = np.flatnonzero(rise >= h)
+            if h <= top:
+                passing = np.flatnonzero(rise < h)
+                if len(passing):
+                    now[passing] = _greedy(x, levels[h], q[passing], now[passing])
+                if not len(joins):
+                    continue
+                cand, near = _beam(x, levels[h], q[joins], now[joins], EF_BUILD)
+                now[joins] = cand[:, 0]
+            else:
+                cand, near = np.zeros((len(joins), 0), np.int32), np.zeros((len(joins), 0), np.float32)
+            own = among[np.ix_(joins, joins)]
+            cand = np.concatenate([cand, np.where(np.isfinite(own), batch[joins][None, :], -1).astype(np.int32)], axis=1)
+            cand, near = _best(cand, np.concatenate([near, own], axis=1), EF_BUILD)
+            _link(x, levels[h], batch[joins], _varied(x, np.where(np.isfinite(near), cand, -1), near, M))
+        high = int(rise.argmax())
+        if rise[high] > top:
+            entry, top = int(batch[high]), int(rise[high])
+        done += len(batch)
+    return levels, entry
 
 
-def build(ids: np.ndarray, vectors: np.ndarray) -> dict:
+def build(ids: np.ndarray, vectors: np.ndarray, graph: bool = True) -> dict:
     """A shard's index: distinct vectors, their ids as one flat array with offsets, and the levels' neighbour arrays."""
     order = np.lexsort((ids, *vectors.T[::-1]))
     ids, vectors = ids[order], vectors[order]
@@ -91,75 +188,32 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> dict:
     lift = np.sqrt(np.maximum(norms.max() - norms, 0))
     x = np.concatenate([distinct, lift[:, None]], axis=1).astype(np.float32)
     x /= max(np.sqrt(norms.max()), 1e-30)
+    if not graph:
+        return {"ids": ids, "offsets": offsets, "vectors": distinct, "x": x}
     rng = np.random.Generator(np.random.PCG64(1))
     height = np.floor(-np.log(1 - rng.random(len(x))) / np.log(M)).astype(int)
-    order = rng.permutation(len(x))
-    levels = []
-    for h in range(int(height.max()) + 1):
-        nodes = order[height[order] >= h]
-        graph = _level(x, nodes, M, 2 * M if h == 0 else M)
-        place = np.full(len(x), -1, np.int32)
-        place[nodes] = np.arange(len(nodes))
-        levels.append((place, graph))
-    top = order[height[order] == height.max()][0]
-    return {"ids": ids, "offsets": offsets, "vectors": distinct, "x": x, "levels": levels, "entry": int(top)}
+    levels, entry = _insert(x, height, rng.permutation(len(x)))
+    return {"ids": ids, "offsets": offsets, "vectors": distinct, "x": x, "levels": levels, "entry": entry}
 
 
 def _walk(index: dict, q: np.ndarray, ef: int) -> np.ndarray:
     """Places of the ef distinct vectors found for each query, nearest first, -1 for none."""
-    x, n = index["x"], len(index["x"])
     now = np.full(len(q), index["entry"])
-    best = x[now[0]] @ q.T
-    for place, graph in reversed(index["levels"][1:]):
-        moving = np.arange(len(q))
-        while len(moving):
-            near = graph[place[now[moving]]]
-            sims = np.where(near >= 0, np.einsum("ijk,ik->ij", x[np.maximum(near, 0)], q[moving]), -np.inf)
-            j = sims.argmax(axis=1)
-            better = sims[np.arange(len(moving)), j] > best[moving]
-            moving, j, sims, near = moving[better], j[better], sims[better], near[better]
-            now[moving], best[moving] = near[np.arange(len(moving)), j], sims[np.arange(len(moving)), j]
-    place, graph = index["levels"][0]
-    ef = min(ef, n)
-    rows = np.arange(len(q))
-    seen = np.zeros((len(q), n), bool)
-    seen[rows, now] = True
-    ids, val, done = np.full((len(q), ef), -1, np.int64), np.full((len(q), ef), -np.inf, np.float32), np.ones((len(q), ef), bool)
-    ids[:, 0], val[:, 0], done[:, 0] = now, best, False
-    step = 4
-    active = rows
-    while len(active):
-        open_val = np.where(done[active], -np.inf, val[active])
-        pick = np.argpartition(-open_val, min(step, ef) - 1, axis=1)[:, :step]
-        ok = np.isfinite(np.take_along_axis(open_val, pick, axis=1))
-        live = ok.any(axis=1)
-        active, pick, ok = active[live], pick[live], ok[live]
-        if not len(active):
-            break
-        done[active[:, None], pick] |= ok
-        near = graph[place[np.maximum(ids[active[:, None], pick], 0)]].astype(np.int64)
-        near = np.where(ok[:, :, None] & (near >= 0), near, -1).reshape(len(active), -1)
-        fresh = (near >= 0) & ~seen[active[:, None], np.maximum(near, 0)]
-        near = np.where(fresh, near, -1)
-        near.sort(axis=1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        r, c = np.nonzero(near >= 0)
-        seen[active[r], near[r, c]] = True
-        sims = np.full(near.shape, -np.inf, np.float32)
-        sims[r, c] = np.einsum("ij,ij->i", x[near[r, c]], q[active[r]])
-        all_ids = np.concatenate([ids[active], near], axis=1)
-        all_val = np.concatenate([val[active], sims], axis=1)
-        all_done = np.concatenate([done[active], sims == -np.inf], axis=1)
-        top = np.argpartition(-all_val, ef - 1, axis=1)[:, :ef]
-        ids[active], val[active], done[active] = (np.take_along_axis(a, top, axis=1) for a in (all_ids, all_val, all_done))
-    order = np.argsort(-val, axis=1)
-    return np.take_along_axis(np.where(np.isfinite(val), ids, -1), order, axis=1)
+    for level in reversed(index["levels"][1:]):
+        now = _greedy(index["x"], level, q, now)
+    return _beam(index["x"], index["levels"][0], q, now, min(ef, len(index["x"])))[0]
+
+
+def _every(index: dict, queries: np.ndarray, ef: int) -> np.ndarray:
+    """What _walk looks for, by comparing every vector of the shard in double precision."""
+    sims = queries.astype(float) @ index["vectors"].astype(float).T
+    return np.argsort(-sims, axis=1, kind="stable")[:, :ef]
 
 
-def search(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int = K, ef: int = EF) -> list[tuple]:
-    """(query_id, vec_id, score) of the k nearest that the shard's graph yields for each query; ties to smaller ids."""
+def search(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int = K, ef: int = EF, exact: bool = False) -> list[tuple]:
+    """(query_id, vec_id, score) of the k nearest that the shard's graph yields for each query, of all where exact; ties to smaller ids."""
     q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
-    found = _walk(index, q, max(ef, 2 * k))
+    found = _every(index, queries, len(index["x"])) if exact else _walk(index, q, max(ef, 2 * k))
     ids, offsets, vectors = index["ids"], index["offsets"], index["vectors"].astype(float)
     out = []
     for i, (own, v) in enumerate(zip(query_ids.tolist(), queries.astype(float))):
@@ -185,12 +239,13 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(flat), -1)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = K, ef: int = EF, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = K, ef: int = EF, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row that is_query marks, by inner product.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id; vectors
     of other lengths are not compared. Rows with the query's id are not its candidates; repeated rows of one id and
-    vector count once. Fewer candidates than k give fewer rows; an empty table gives none.
+    vector count once. Fewer candidates than k give fewer rows; an empty table gives none. With `exact` every vector of
+    each shard is compared, and no graph is built.
     """
     spark = tuned(vectors.sparkSession)
     clean = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec_col, lambda x: x != 0)
@@ -202,14 +257,16 @@ def nearest(vectors: DataFrame, is_query, k: int = K, ef: int = EF, shard_rows:
 
     def make(key, table):
         ids, v = table.column("id").to_numpy(), _matrix(table.column("v"))
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int64()), "index": [pickle.dumps(build(ids, v), 5)]})
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int64()), "index": [pickle.dumps(build(ids, v, not exact), 5)]})
 
     def block(key, table):
         ids, v = table.column("id").to_numpy(), _matrix(table.column("v"))
         _, first = np.unique(np.concatenate([ids[:, None].view(np.uint8).reshape(len(ids), -1), np.ascontiguousarray(v).view(np.uint8).reshape(len(ids), -1)], axis=1), axis=0, return_index=True)
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "queries": [pickle.dumps((ids[first], v[first]), 5)]})
 
-    shards = dealt.select("dim", F.pmod(F.xxhash64("id"), "shards").alias("shard"), "id", "v").groupBy("dim", "shard").applyInArrow(make, "dim int, shard long, index binary")
+    # one shard to a task: more partitions than shards, and as many as asked for
+    tasks = min(TASKS, 4 * (sizes.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0] or 1))
+    shards = dealt.select("dim", F.pmod(F.xxhash64("id"), "shards").alias("shard"), "id", "v").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(make, "dim int, shard long, index binary")
     blocks = dealt.where("q").select("dim", F.pmod(F.xxhash64("id", F.lit(1)), "blocks").alias("block"), "id", "v").groupBy("dim", "block").applyInArrow(block, "dim int, block long, queries binary")
     asked = blocks.join(sizes.select("dim", "shards"), "dim").select("dim", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "queries")
     met = asked.join(materialize(shards), ["dim", "shard"]).repartition("dim", "shard", "block").select("index", "queries")
@@ -217,7 +274,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, ef: int = EF, shard_rows:
     def run(batches):
         for batch in batches:
             for index, queries in zip(batch.column(0), batch.column(1)):
-                found = search(pickle.loads(index.as_py()), *pickle.loads(queries.as_py()), k, ef)
+                found = search(pickle.loads(index.as_py()), *pickle.loads(queries.as_py()), k, ef, exact)
                 cols = list(zip(*found)) if found else [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
 

@@ -1,12 +1,14 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad labelled text.
 
-A text is compressed with the good dictionary, with the bad one and with none. The size differences, normalised by the
-sizes themselves, say which kind of text it resembles and how much it repeats itself; a logistic regression fitted to the
-labelled sample turns them into a probability. Whole texts are compressed, and also each of their blocks of `BLOCK`
-bytes, so that a bad passage in a long text still shows.
-
-Fitting reads a bounded sample: the first `per_class` labelled rows of each class in the order of a hash of doc_id.
-Half of it builds the dictionaries and the other half fits the calibration.
+Each block of BLOCK bytes of a text is compressed with the dictionary trained on good texts and with the one trained on
+bad texts. The difference of the sizes, normalised by their sum, says which kind of text it resembles: that of all blocks
+together, and those of the blocks that are most like bad and most like good text, so that a bad passage in a long text
+still shows. Nothing else enters the score: a logistic regression fitted to the labelled sample turns these differences
+into a probability.
+
+Fitting reads a bounded sample of labelled rows (`per_class` of each class and `sample_mb` together, see labelled_sample).
+The dictionaries are trained on every block of the sample; the calibration is fitted to differences from dictionaries
+that were trained without the text in question (`FOLDS` folds).
 """
 
 from __future__ import annotations
@@ -18,35 +20,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buffers, carried, documents, id_text
-from .toxicity import held_out, labelled_sample
+from .toxicity import SAMPLE_MB, held_out, labelled_sample
+
+PER_CLASS, DICT_BYTES, LEVEL, BLOCK, FOLDS, THRESHOLD = 3000, 1 << 15, 3, 256, 3, 0.7
 
-PER_CLASS, DICT_BYTES, LEVEL, BLOCK, THRESHOLD = 3000, 1 << 16, 3, 400, 0.7
 
+def _dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
+    """A dictionary, entropy tables included, trained on all blocks of the texts; the texts themselves where they are too few."""
+    blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK) if len(t) - i >= 8]
+    try:
+        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, blocks)) // 8)), blocks, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(blocks)[:size]
 
-def _compressors(good: bytes, bad: bytes, level: int = LEVEL) -> list:
+
+def _compressors(good: bytes, bad: bytes) -> list:
     out = []
-    for data in (good, bad, b""):
-        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if data else None
+    for data in (good, bad):
+        d = zstandard.ZstdCompressionDict(data) if data else None
         if d:
-            d.precompute_compress(level=level)
-        out.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False))
+            d.precompute_compress(level=LEVEL)
+        out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
     return out
 
 
-def sizes(text: bytes, compressors: list) -> np.ndarray:
-    return np.array([len(c.compress(text)) for c in compressors], float)
+def differences(raw: np.ndarray, offsets: np.ndarray, compressors: list) -> np.ndarray:
+    """For each text the normalised size difference of all its blocks, the least and the greatest of any; 0 for empty texts."""
+    sizes = np.diff(offsets)
+    n = -(-sizes // BLOCK)
+    text = np.repeat(np.arange(len(n)), n)
+    at = offsets[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * BLOCK
+    size = np.minimum(BLOCK, offsets[1:][text] - at)
+    out = np.zeros((len(n), 3))
+    if not len(text):
+        return out
+    blocks = zstandard.BufferWithSegments(raw.tobytes(), np.stack([at, size], axis=1).astype(np.uint64).tobytes())
+    good, bad = (np.fromiter(map(len, c.multi_compress_to_buffer(blocks, threads=1)), float, len(text)) for c in compressors)
+    whole = np.bincount(text, good, len(n)), np.bincount(text, bad, len(n))
+    has = n > 0
+    out[has, 0] = ((whole[1] - whole[0]) / (whole[0] + whole[1] + 1e-9))[has]
+    each = (bad - good) / (bad + good)
+    heavy = size >= np.minimum(BLOCK, sizes)[text] * 0.5
+    out[has, 1:] = 9, -9
+    np.minimum.at(out[:, 1], text[heavy], each[heavy])
+    np.maximum.at(out[:, 2], text[heavy], each[heavy])
+    return out
 
 
-def describe(text: bytes, compressors: list) -> np.ndarray:
-    """Normalised size differences of a text's blocks: their mean and their worst."""
-    cuts = range(0, max(1, len(text)), BLOCK)
-    rows = np.array([sizes(text[i : i + BLOCK], compressors) for i in cuts])
-    n = np.array([len(text[i : i + BLOCK]) for i in cuts], float)
-    diff = (rows[:, 1] - rows[:, 0]) / (rows[:, 0] + rows[:, 1])
-    dense = rows[:, 2] / (n + 16)
-    share = n / max(1.0, n.sum())
-    heavy = n >= min(BLOCK, n.max()) * 0.5
-    return np.array([diff @ share, diff[heavy].min(), diff[heavy].max(), dense @ share, dense[heavy].min(), dense[heavy].max()])
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
@@ -74,52 +96,40 @@ def _expand(f: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(z), 1)), z, z * z], axis=1)
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """One block from each text in turn, more from the next round, until full: no single text fills it."""
-    parts, room, k = [], size, 0
-    while room > 0 and texts:
-        got = [t[k * BLOCK : (k + 1) * BLOCK] for t in texts]
-        got = [g for g in got if g]
-        if not got:
-            break
-        for g in got:
-            if room <= 0:
-                break
-            parts.append(g[:room])
-            room -= len(g)
-        k += 1
-    return b"".join(reversed(parts))
-
-
 def fit(rows: list[tuple[str, int]]) -> dict:
-    """Dictionaries, calibration and scale, from (text, label) rows; a class without rows leaves a constant score."""
+    """Dictionaries, calibration and scale, from (text, label) rows; a class with fewer than two rows leaves a constant score."""
     base = float(np.mean([y for _, y in rows])) if rows else 0.5
-    parts = {(y, h): [t.encode() for i, (t, c) in enumerate(rows) if c == y and i % 2 == h] for y in (0, 1) for h in (0, 1)}
-    if not all(parts.values()):
+    of = {y: [t.encode() for t, c in rows if c == y] for y in (0, 1)}
+    folds = min(FOLDS, len(of[0]), len(of[1]))
+    if folds < 2:
         return {"constant": base}
-    good, bad = _dictionary(parts[1, 0], DICT_BYTES), _dictionary(parts[0, 0], DICT_BYTES)
-    compressors = _compressors(good, bad)
-    f = np.array([describe(t, compressors) for y in (1, 0) for t in parts[y, 1]])
-    y = np.array([1.0] * len(parts[1, 1]) + [0.0] * len(parts[0, 1]))
+    f, y = [], []
+    for k in range(folds):
+        compressors = _compressors(*(_dictionary([t for i, t in enumerate(of[c]) if i % folds != k]) for c in (1, 0)))
+        for c in (1, 0):
+            own = of[c][k::folds]
+            f.append(differences(*_joined(own), compressors))
+            y += [float(c)] * len(own)
+    f, y = np.concatenate(f), np.array(y)
     mean, scale = f.mean(axis=0), f.std(axis=0) + 1e-9
-    return {"good": good, "bad": bad, "mean": mean, "scale": scale, "w": _logistic(_expand(f, mean, scale), y)}
+    return {"good": _dictionary(of[1]), "bad": _dictionary(of[0]), "mean": mean, "scale": scale, "w": _logistic(_expand(f, mean, scale), y)}
 
 
-def score(texts: list[bytes], model: dict, compressors: list | None) -> np.ndarray:
-    if "constant" in model or not texts:
-        return np.full(len(texts), model.get("constant", 0.5))
-    f = np.array([describe(t, compressors) for t in texts])
+def score(raw: np.ndarray, offsets: np.ndarray, model: dict, compressors: list | None) -> np.ndarray:
+    if "constant" in model or len(offsets) < 2:
+        return np.full(len(offsets) - 1, model.get("constant", 0.5))
+    f = differences(raw, offsets, compressors)
     return 1 / (1 + np.exp(-np.clip(_expand(f, model["mean"], model["scale"]) @ model["w"], -35, 35)))
 
 
-def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", carry: tuple = ()) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", carry: tuple = (), sample_mb: float = SAMPLE_MB) -> DataFrame:
     """(doc_id, score, and carry): how likely each whole text is good, by a model fitted to `labels` (rows with a null label or id are not used).
 
-    Null texts count as empty and get the score of an empty text. Without labels of both classes every score is the
+    Null texts count as empty and get the score of an empty text. Without two labels of each class every score is the
     share of good labels (0.5 without any). Repeated rows come back repeated. Only the named columns
     are read; those named in `carry` are handed through as a struct.
     """
-    sample = labelled_sample(docs, labels, label, per_class, id_col, text_col)
+    sample = labelled_sample(docs, labels, label, per_class, id_col, text_col, sample_mb)
     model = docs.sparkSession.sparkContext.broadcast(fit([(r[1], r[2]) for r in sample]))
 
     def run(batches):
@@ -127,9 +137,7 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_c
         compressors = None if "constant" in m else _compressors(m["good"], m["bad"])
         for batch in batches:
             raw, offsets = buffers(batch.column(1))
-            data = raw.tobytes()
-            texts = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(texts, m, compressors)), *batch.columns[2:]], names=["doc_id", "score", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(raw, offsets, m, compressors)), *batch.columns[2:]], names=["doc_id", "score", *batch.schema.names[2:]])
 
     return id_text(docs, id_col, text_col, carry).mapInArrow(run, carried(docs, "doc_id long, score double", carry))
 

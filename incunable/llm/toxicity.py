@@ -4,7 +4,7 @@ A text's features are the set of its words, word pairs and pairs with one or two
 FTRL-proximal keeps a learning rate for each coordinate and its L1 term leaves most weights at exactly zero, so what is
 broadcast to score the corpus is a short sorted list of hashes and weights.
 
-Fitting reads a bounded sample: the first `per_class` labelled rows of each class in the order of a hash of doc_id.
+Fitting reads a bounded sample of labelled rows (`per_class` of each class and `sample_mb` together, see labelled_sample).
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, buffers, documents, id_text, mix, spans, word_hashes
+from .common import LOWER, WORDS, buffers, documents, id_text, materialize, mix, spans, word_hashes
 
 ALPHA, BETA, L1, L2, EPOCHS, PER_CLASS, MIN_DOCS = 0.3, 1.0, 4.0, 1.0, 4, 4000, 3
-SKIPS = (1, 2, 3)
+SKIPS, SAMPLE_MB = (1, 2, 3), 40.0
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,21 +87,33 @@ def score_texts(raw: np.ndarray, offsets: np.ndarray, model: tuple[np.ndarray, n
     return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> list:
-    """(text, label) of the first `per_class` labelled rows of each class, by a hash of doc_id: at most 2 * per_class rows reach the driver."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", sample_mb: float = SAMPLE_MB) -> list:
+    """(doc_id, text, label) of a sample: the first `per_class` labelled ids of each class by a hash of the id, and of their rows, in that order, those that `sample_mb` has room for.
+
+    At most 2 * per_class rows and sample_mb MB of text reach the driver, whatever the tables hold; a text that is too
+    long for the room that is left is passed over, those behind it are not. An id that is labelled both ways is in both.
+    """
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").distinct()
     picked = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    texts = id_text(docs, id_col, text_col).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-    return sorted(((r["doc_id"], r["text"], r["y"]) for r in texts.collect()), key=lambda r: (hashlib.md5(str(r[0]).encode()).digest(), r[1]))
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
+    met = id_text(docs, id_col, text_col).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    met = materialize(met.withColumn("row", F.monotonically_increasing_id()).withColumn("bytes", F.octet_length("text")))
+    room, rows_of = sample_mb * 1e6, []
+    for r in met.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "text").select("row", "bytes").limit(2 * per_class).collect():
+        if r["bytes"] <= room:
+            room -= r["bytes"]
+            rows_of.append((r["row"],))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(rows_of, "row long"))
+    texts = met.join(chosen, "row", "left_semi").select("doc_id", "text", "y").collect()
+    return sorted(((r["doc_id"], r["text"], r["y"]) for r in texts), key=lambda r: (hashlib.md5(str(r[0]).encode()).digest(), r[1], r[2]))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample_mb: float = SAMPLE_MB) -> DataFrame:
     """(doc_id, score): how likely each whole text is toxic, by a model fitted to `labels` (rows with a null label or id are not used).
 
     Null and empty texts get the bias's probability; without labels every score is 0.5. Repeated rows come back
     repeated. Only the named columns are read, and of the labels only to fit.
     """
-    sample = labelled_sample(docs, labels, label, per_class, id_col, text_col)
+    sample = labelled_sample(docs, labels, label, per_class, id_col, text_col, sample_mb)
     model = docs.sparkSession.sparkContext.broadcast(fit([r[1] for r in sample], [r[2] for r in sample]))
 
     def run(batches):

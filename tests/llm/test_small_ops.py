@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -73,15 +74,46 @@ def separated(good, bad):
     return np.mean([(g > b) + (g == b) / 2 for g in good for b in bad])
 
 
-def test_quality_held_out(spark):
-    at = "/root/testdata/sf0.01"
-    df = quality.op8_quality(spark, at).cache()
+@pytest.mark.parametrize("at, rows", [("sf0.01", 1000), ("sf0.1", 10000)])
+def test_quality_held_out(spark, at, rows):
+    at = f"/root/testdata/{at}"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
-    rows = df.collect()
-    held = [(r["score"], labels[r["doc_id"]]) for r in rows if r["held_out"] and labels.get(r["doc_id"]) is not None]
-    assert len(rows) == 1000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
-    assert separated([s for s, y in held if y], [s for s, y in held if not y]) >= 0.85
-    assert np.mean([s >= 0.7 for s, y in held if y]) >= 0.9
+    got = quality.op8_quality(spark, at).collect()
+    held = [(r["score"], labels[r["doc_id"]]) for r in got if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    assert len(got) == rows and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    assert separated([s for s, y in held if y], [s for s, y in held if not y]) >= 0.93
+    assert np.mean([s >= 0.7 for s, y in held if y]) >= 0.95 and np.mean([s >= 0.7 for s, y in held if not y]) <= 0.15
+
+
+def test_quality_difference_alone_separates(spark):
+    """The normalised size difference of a text's blocks, with nothing fitted to it."""
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    texts = [(r["doc_id"], r["text"] or "", labels[r["doc_id"]]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if labels.get(r["doc_id"]) is not None]
+    held = [t for t in texts if zlib.crc32(str(t[0]).encode()) % 4 == 2]
+    model = quality.fit([(t, y) for i, t, y in texts if zlib.crc32(str(i).encode()) % 4 != 2])
+    f = quality.differences(*quality._joined([t.encode() for _, t, _ in held]), quality._compressors(model["good"], model["bad"]))[:, 0]
+    assert separated([x for x, (_, _, y) in zip(f, held) if y], [x for x, (_, _, y) in zip(f, held) if not y]) >= 0.9
+
+
+def test_quality_differences_match_plain():
+    texts = [b"", b"a", b"the of and " * 60, b"%%% $$$ " * 33 + b"x", bytes(range(256)) * 3]
+    compressors = quality._compressors(b"the of and to " * 40, b"%%% $$$ &&& " * 40)
+    got = quality.differences(*quality._joined(texts), compressors)
+    for t, row in zip(texts, got):
+        cuts = [t[i : i + quality.BLOCK] for i in range(0, len(t), quality.BLOCK)]
+        good, bad = ([len(c.compress(x)) for x in cuts] for c in compressors)
+        each = [(b - g) / (b + g) for g, b, x in zip(good, bad, cuts) if len(x) >= min(len(t), quality.BLOCK) / 2]
+        assert row == pytest.approx([(sum(bad) - sum(good)) / (sum(bad) + sum(good)), min(each), max(each)] if cuts else [0, 0, 0], abs=1e-6)
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = frame(spark, [(i, "x" * (1000 if i % 2 else 10)) for i in range(40)] + [(1, "y" * 500)] * 50)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (5, None), (None, 1)], "doc_id long, quality int")
+    rows = toxicity.labelled_sample(docs, labels, "quality", 15)
+    assert 0 < len(rows) <= 30 and {y for _, _, y in rows} == {0, 1}
+    small = toxicity.labelled_sample(docs, labels, "quality", 15, sample_mb=0.003)
+    assert 0 < sum(len(t) for _, t, _ in small) <= 3000 and any(len(t) == 10 for _, t, _ in small)
+    assert not toxicity.labelled_sample(docs, labels.limit(0), "quality", 15)
 
 
 def test_quality_fit_does_not_diverge():
@@ -134,6 +166,38 @@ def test_neighbours_recall(spark):
     assert all(abs(got[m] - want[m]) < 1e-9 for m in met)
 
 
+@pytest.mark.parametrize("clusters", [0, 30])
+def test_neighbours_recall_over_shards(spark, clusters):
+    """Five shards; without clusters the vectors are Gaussian, the hard case. The same vectors are found exactly if asked."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(9000, 64)).astype(np.float32)
+    if clusters:
+        v = (v * 0.3 + rng.normal(size=(clusters, 64))[rng.integers(0, clusters, len(v))]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    q = np.arange(0, 9000, 20)
+    sims = v[q].astype(float) @ v.astype(float).T
+    sims[np.arange(len(q)), q] = -np.inf
+    best = np.argsort(-sims, axis=1, kind="stable")[:, :20]
+    want = {(int(i), int(j)) for i, row in zip(q, best) for j in row}
+    found = neighbours.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=2048).collect()
+    assert len(found) == len(want) and len({(r["query_id"], r["vec_id"]) for r in found} & want) >= 0.9 * len(want)
+    plain = neighbours.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=2048, exact=True).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in plain} == want
+
+
+def test_neighbours_graph_is_reached_from_its_entry():
+    rng = np.random.default_rng(8)
+    index = neighbours.build(np.arange(700), rng.normal(size=(700, 8)).astype(np.float32))
+    place, graph = index["levels"][0]
+    assert (place >= 0).all() and graph.shape == (700, 2 * neighbours.M)
+    met, front = {index["entry"]}, [index["entry"]]
+    while front:
+        new = {x for i in front for x in graph[place[i]].tolist() if x >= 0} - met
+        met |= new
+        front = list(new)
+    assert len(met) > 690
+
+
 def rows_of_embeddings():
     return [(r[0], r[1]) for r in rows("embeddings")]
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, documents, id_text, word_hashes
+from .common import buffers, carried, documents, id_text, word_hashes
 
 KEPT, ROUNDS, WORDS_AT_ONCE, ROWS_AT_ONCE, BUFFER, DECODED_AT_ONCE = 1 << 20, 24, 20_000, 200_000, 4 << 20, 1 << 18
 #: The characters with Unicode's White_Space property, which is what the pattern's \s means.
@@ -268,11 +268,11 @@ def defaults() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids binary, decoded binary): each whole text's token ids (32-bit, little-endian) and the bytes they decode to.
+def bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
+    """(doc_id, ids binary, decoded binary, and carry): each whole text's token ids (32-bit, little-endian) and the bytes they decode to.
 
     Null texts count as empty and have no ids; white-space-only, very long and repeated texts are encoded like any other.
-    Extra columns are not read; an empty table gives no rows.
+    Only the named columns are read; those named in `carry` are handed through as a struct. An empty table gives no rows.
     """
     default_path, default_pattern = defaults()
     with open(ranks_path or default_path, "rb") as f:
@@ -287,7 +287,7 @@ def bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = No
             ids, first = coder.encode(raw, offsets)
             back = coder.decode(ids, first)
             packed = pa.Array.from_buffers(pa.large_binary(), len(back), [None, pa.py_buffer(first.astype(np.int64) * 4), pa.py_buffer(ids.astype(np.uint32))])
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([x.column(0) for x in held]), packed.cast(pa.binary()), pa.array(back, pa.binary())], names=["doc_id", "ids", "decoded"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x.column(0) for x in held]), packed.cast(pa.binary()), pa.array(back, pa.binary()), *(pa.concat_arrays([x.column(2) for x in held]) for _ in carry[:1])], names=["doc_id", "ids", "decoded", *["carry"] * bool(carry)])
 
         held, size = [], 0
         for batch in batches:
@@ -299,7 +299,7 @@ def bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = No
         if held:
             yield done(held)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return id_text(docs, id_col, text_col, carry).mapInArrow(run, carried(docs, "doc_id long, ids binary, decoded binary", carry))
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, id_text, materialize
+from .common import buffers, id_text, lean, materialize
 
 CHUNK_BYTES, TASKS = 8 << 20, 8192
 
@@ -62,8 +62,10 @@ def pack(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id"
             if size >= chunk_bytes:
                 yield emit()
                 seq, held, size = seq + 1, [], 0
+                lean()
         if any(x.num_rows for x in held):
             yield emit()
+            lean()
 
     return materialize(id_text(docs, id_col, text_col, carry).mapInArrow(run, "chunk long, bytes long, blob binary" + (f", {made}" if made else "")), "none")
 
@@ -120,6 +122,7 @@ def ask(chunks: DataFrame, questions) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 out = list(questions(row))
+                lean()
                 if out:
                     shards, payloads = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([row["chunk"]] * len(out), pa.int64()), pa.array(payloads, pa.binary())], names=["shard", "chunk", "payload"])

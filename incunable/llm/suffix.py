@@ -144,13 +144,14 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, chunk_bytes: int | None = None, bytes_per_shard: int = BYTES_PER_SHARD, carry: tuple = ()) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, chunk_bytes: int | None = None, bytes_per_shard: int = BYTES_PER_SHARD, carry: tuple = (), characters: bool = False) -> DataFrame:
     """One row for each document: n_bytes, n_removed, n_spans, kept_sha256, kept, spans.
 
     A byte is removed if a string of `length` bytes that covers it also starts anywhere else, in the same document or in
     another; documents that are copies lose all their long texts alike. Matches never cross documents; n_spans counts
     maximal removed runs, which are `spans`. kept is the rest as text, U+FFFD where a character was cut (null where
-    `texts` is false, as are the spans); the digest is of the bytes themselves. Null and empty texts have no bytes;
+    `texts` is false, as are the spans); the digest is of the bytes themselves. With `characters` a character goes only if
+    all its bytes would, so that no text holds a part of one. Null and empty texts have no bytes;
     texts under `length` bytes lose nothing. Repeated rows are copies. An empty table gives no rows. Columns
     named in `carry` are handed through as a struct.
     """
@@ -271,6 +272,10 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
                 np.add.at(step, p, 1)
                 np.add.at(step, p + length, -1)
                 gone = np.cumsum(step[:-1]) > 0
+                if characters and len(raw):
+                    opens = np.flatnonzero((raw & 0xC0) != 0x80)
+                    whole = np.bitwise_and.reduceat(gone, opens)
+                    gone = np.repeat(whole, np.diff(np.append(opens, len(raw))))
                 data, keep, out = raw.tobytes(), ~gone, []
                 for d in range(len(ids)):
                     a, b = int(offsets[d]), int(offsets[d + 1])

@@ -85,9 +85,8 @@ def role(text: Column | str, kind: Column | str) -> Column:
 def list_text_v1(c: Column | str) -> Column:
     """The item without its marker; null if it is no list item."""
     t = strip(_text(c))
-    for p in (BULLETS_V1, r"(?U)^\d{1,2}[.)]\s+"):
-        t = F.when(t.rlike(p), F.regexp_replace(t, p, "\u0001")).otherwise(t)
-    return F.when(t.startswith("\u0001"), F.replace(t, F.lit("\u0001"), F.lit("")))
+    bullet, number = BULLETS_V1, r"(?U)^\d{1,2}[.)]\s+"
+    return F.when(t.rlike(bullet), strip(F.regexp_replace(t, bullet, ""))).when(t.rlike(number), strip(F.regexp_replace(t, number, "")))
 
 
 def role_v1(text: Column | str, given: Column | str) -> Column:

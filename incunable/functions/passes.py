@@ -29,7 +29,7 @@ TERMS = (
     ("DN", "сухое иглоукалывание (DN)"),
     ("TCM", "традиционная китайская медицина (ТКМ)"),
 )
-MISREAD = (("НТакупунктура", "Акупунктура"),)
+MISREAD = (("НТакупунктура", "Акупунктура"), ("NТакупунктура", "Акупунктура"))
 #: A word character of a private plane: glued to a kept form's Latin word, it takes away the word border.
 _GLUE = "\ua78c"
 

@@ -9,20 +9,26 @@ from . import classify as k
 from .text import col, lines, strip
 
 TRANSLATE_CHUNK, PARAGRAPH_CHUNK, LONG_PARAGRAPH = 350, 600, 800
+# Words that open an abstract with their titles, and the patterns of numbered headings.
 ABSTRACTS = (("аннотация", "Аннотация"), ("abstract", "Abstract"), ("резюме", "Резюме"), ("summary", "Summary"))
 _NUMBERED = r"(?U)^\s*(\d+[.)]?)\s+([A-ZА-ЯЁ][\w\-() ]{2,60})\s+(.*)\z"
 _TITLED = r"(?U)^\s*(\d+(?:\.\d+)*[.)]?)\s+([A-ZА-ЯЁ][^\n]{0,120})(?:\s+(.+))?"
 
 
-def chunk_sentences(c: Column | str, most: int = TRANSLATE_CHUNK) -> Column:
-    """Sentences packed greedily into chunks of at most `most` characters; a longer sentence is cut into slices."""
-    sentences = F.filter(F.transform(F.split(strip(F.coalesce(col(c), F.lit(""))), r"(?U)(?<=[.!?…])\s+"), strip), lambda s: s != "")
+def chunk_sentences(c: Column | str, most: int = TRANSLATE_CHUNK, blanks: bool = True) -> Column:
+    """Sentences packed greedily into chunks of at most `most` characters; a longer sentence is cut into slices.
+
+    A text that fits is one chunk as it stands, an empty one too. Slices of white space alone are kept as empty ones
+    unless `blanks` is false.
+    """
+    whole = strip(F.coalesce(col(c), F.lit("")))
+    sentences = F.filter(F.transform(F.split(whole, r"(?U)(?<=[.!?…])\s+"), strip), lambda s: s != "")
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("done"), F.lit("").alias("now"))
 
     def slices(s: Column) -> Column:
         cuts = F.transform(F.sequence(F.lit(1), F.length(s), F.lit(most)), lambda i: strip(F.substr(s, i, F.lit(most))))
-        return F.filter(cuts, lambda x: x != "")
+        return cuts if blanks else F.filter(cuts, lambda x: x != "")
 
     def step(acc: Column, s: Column) -> Column:
         flushed = F.when(acc["now"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["now"]))
@@ -33,12 +39,13 @@ def chunk_sentences(c: Column | str, most: int = TRANSLATE_CHUNK) -> Column:
             .otherwise(F.struct(flushed.alias("done"), s.alias("now")))
         )
 
-    return F.aggregate(sentences, start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"])))
+    packed = F.aggregate(sentences, start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"])))
+    return F.when(F.length(whole) <= most, F.array(whole)).otherwise(packed)
 
 
 def split_structural_v1(source: Column | str, target: Column | str) -> Column:
     """(head, body) where the source opens with a number and breaks within 80 characters and the target opens alike; else null."""
-    src, tgt = F.coalesce(col(source), F.lit("")), F.coalesce(col(target), F.lit(""))
+    src, tgt = strip(F.coalesce(col(source), F.lit(""))), F.coalesce(col(target), F.lit(""))
     at = F.instr(src, "\n") - 1
     pattern = r"(?sU)^\s*(\d+[.)]?\s+\S+)\s+(.*)\z"
     head, body = strip(F.regexp_extract(tgt, pattern, 1)), strip(F.regexp_extract(tgt, pattern, 2))

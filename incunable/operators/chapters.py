@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as k
-from ..functions.text import strip
+from ..functions.text import nfc, strip
 from .blocks import ordered_join
 
 
@@ -33,18 +33,20 @@ def chapter_pages(chapters: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def page_texts(blocks: DataFrame) -> DataFrame:
-    return blocks.where("trim(text) <> ''").groupBy("book_id", "page").agg(ordered_join("order", F.col("text"), "\n").alias("text"))
+    """(book_id, page, text): the page's blocks, each in NFC and stripped, one to a line; blank ones are left out."""
+    tidy = blocks.select("book_id", "page", "order", nfc("text").alias("text")).where("text <> ''")
+    return tidy.groupBy("book_id", "page").agg(ordered_join("order", F.col("text"), "\n").alias("text"))
 
 
 def chapter_texts(chapters: DataFrame, pages: DataFrame) -> DataFrame:
-    """(book_id, number, title, file, text) of chapters with any text; numbers keep the gaps of empty ones."""
+    """(book_id, number, title, file, text) of chapters with any text; numbers keep the gaps of empty ones and have two digits at least."""
     met = chapter_pages(chapters, pages).where("trim(text) <> ''")
     out = met.groupBy("book_id", "number", "title").agg(ordered_join("page", F.col("text"), "\n").alias("text"))
-    return out.withColumn("file", F.concat(F.lpad("number", 2, "0"), F.lit(" - "), safe_title("title"), F.lit(".txt")))
+    return out.withColumn("file", F.concat(F.format_string("%02d", "number"), F.lit(" - "), safe_title("title"), F.lit(".txt")))
 
 
 def safe_title(c: str) -> Column:
-    return F.regexp_replace(strip(F.substring(c, 1, 80)), r'[\\/:*?"<>|]', "_")
+    return F.regexp_replace(F.substring(nfc(c), 1, 80), r'[\\/:*?"<>|]', "_")
 
 
 def book_plaintext(pages: DataFrame) -> DataFrame:

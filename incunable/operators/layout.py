@@ -23,16 +23,15 @@ def column_order(blocks: DataFrame) -> DataFrame:
     Pages without boxes go by order, pages less than 120 wide by (y0, order); others by column, then y0. Blocks without
     a box come last.
     """
-    page = Window.partitionBy("book_id", "page")
     x0, y0 = F.col("bbox.x0"), F.col("bbox.y0")
-    xs = F.sort_array(F.collect_list(x0).over(page))
-    middle = F.get(xs, F.floor(F.size(xs) / 2).cast("int"))
-    spread = F.max(x0).over(page) - F.min(x0).over(page)
-    keyed = blocks.withColumns({
-        "_last": F.when(spread.isNull(), 0).when(x0.isNull(), 2).when(spread < SPREAD, 0).otherwise((x0 > middle).cast("int")),
+    xs = F.sort_array(F.collect_list("bbox.x0"))
+    wide = blocks.groupBy(F.col("book_id").alias("_b"), F.col("page").alias("_p")).agg(F.get(xs, F.floor(F.size(xs) / 2).cast("int")).alias("_middle"), (F.max("bbox.x0") - F.min("bbox.x0")).alias("_spread"))
+    spread, page = F.col("_spread"), Window.partitionBy("book_id", "page")
+    keyed = blocks.join(wide, F.col("book_id").eqNullSafe(F.col("_b")) & F.col("page").eqNullSafe(F.col("_p"))).withColumns({
+        "_last": F.when(spread.isNull(), 0).when(x0.isNull(), 2).when(spread < SPREAD, 0).otherwise((x0 > F.col("_middle")).cast("int")),
         "_y": F.when(spread.isNull() | x0.isNull(), 0.0).otherwise(y0),
     })
-    return keyed.withColumn("place", F.row_number().over(page.orderBy("_last", "_y", "order")) - 1).drop("_last", "_y")
+    return keyed.withColumn("place", F.row_number().over(page.orderBy("_last", "_y", "order")) - 1).drop("_last", "_y", "_b", "_p", "_middle", "_spread")
 
 
 def paragraph_rows(blocks: DataFrame) -> DataFrame:
@@ -81,12 +80,18 @@ def reassemble(blocks: DataFrame) -> DataFrame:
 
     A paragraph begins wherever the block before it closes one, which lag() sees; its number is a running sum.
     """
-    book = Window.partitionBy("book_id").orderBy("page", "order", "id")
-    role = k.role_v1(t.first_filled("translated_text", "text"), "role") if "role" in blocks.columns else k.role_v1(t.first_filled("translated_text", "text"), F.lit("paragraph"))
-    cut = blocks.withColumns({"t": t.strip(t.first_filled("translated_text", "text")), "cut": s.split_structural_v1("text", "translated_text"), "kind": role, "item": k.list_text_v1(t.first_filled("translated_text", "text"))})
-    parts = F.when(F.col("cut").isNotNull(), F.array(F.struct(F.lit("heading2").alias("k"), F.col("cut.head").alias("x")), F.struct(F.lit("body").alias("k"), F.col("cut.body").alias("x")))).otherwise(
-        F.array(F.struct(F.when(F.col("t") == "", "empty").when(F.col("item").isNotNull(), "list_item").when(F.col("kind") != "paragraph", F.col("kind")).otherwise("body").alias("k"), F.coalesce("item", "t").alias("x")))
+    target = t.first_filled("translated_text", "text")
+    source = t.first_filled("normalized_text", "text") if "normalized_text" in blocks.columns else F.col("text")
+    given = F.col("role") if "role" in blocks.columns else F.lit("paragraph")
+    # staged, so that no column's expression is planned more than once
+    texts = blocks.select("book_id", "page", "order", "id", t.strip(target).alias("t"), source.alias("source"), given.alias("given"))
+    cut = texts.select("book_id", "page", "order", "id", "t", s.split_structural_v1("source", "t").alias("cut"), k.role_v1("t", "given").alias("kind"))
+    cut = cut.withColumn("running", F.coalesce("cut.body", "t")).withColumn("item", k.list_text_v1("running"))
+    rest = F.struct(
+        F.when(F.col("running") == "", "empty").when(F.col("cut").isNull() & (F.col("kind") != "paragraph"), F.col("kind")).when(F.col("item").isNotNull(), "list_item").otherwise("body").alias("k"),
+        F.when(F.col("cut").isNull() & (F.col("kind") != "paragraph"), F.col("running")).otherwise(F.coalesce("item", "running")).alias("x"),
     )
+    parts = F.when(F.col("cut").isNotNull(), F.array(F.struct(F.lit("heading2").alias("k"), F.col("cut.head").alias("x")), rest)).otherwise(F.array(rest))
     rows = cut.select("book_id", "page", "order", "id", F.posexplode(parts).alias("n", "p")).select("book_id", "page", "order", "id", "n", F.col("p.k").alias("k"), F.col("p.x").alias("x"))
     rows = rows.withColumn("k", F.when((F.col("k") == "body") & (F.length("x") > s.LONG_PARAGRAPH), "long").otherwise(F.col("k")))
     book = Window.partitionBy("book_id").orderBy("page", "order", "id", "n")
@@ -95,7 +100,7 @@ def reassemble(blocks: DataFrame) -> DataFrame:
     grouped = rows.withColumn("g", F.sum(begins.cast("int")).over(book)).where("k <> 'empty'")
     joined = grouped.groupBy("book_id", "g").agg(F.min(F.struct("page", "order", "id", "n", "k")).alias("head"), F.array_sort(F.collect_list(F.struct("page", "order", "id", "n", "x"))).alias("xs"))
     text = F.array_join(F.transform("xs", lambda x: x["x"]), " ")
-    out = joined.select("book_id", "g", F.col("head.page").alias("page"), F.col("head.k").alias("k"), F.posexplode(F.when(F.col("head.k") == "long", s.chunk_sentences(text, s.PARAGRAPH_CHUNK)).otherwise(F.array(text))).alias("part", "text"))
+    out = joined.select("book_id", "g", F.col("head.page").alias("page"), F.col("head.k").alias("k"), F.posexplode(F.when(F.col("head.k") == "long", s.chunk_sentences(text, s.PARAGRAPH_CHUNK, blanks=False)).otherwise(F.array(text))).alias("part", "text"))
     kind = F.when(F.col("k").isin("body", "long"), "paragraph").otherwise(F.col("k"))
     seq = F.row_number().over(Window.partitionBy("book_id").orderBy("g", "part")) - 1
     return out.select("book_id", seq.alias("seq"), kind.alias("type"), "text", "page")

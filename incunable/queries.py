@@ -134,7 +134,8 @@ row_query("norm_strip_soft", lambda: t.strip_soft("text"), SQL_SOFT)
 row_query("norm_merge_hyphen", lambda: t.merge_hyphen("text"), SQL_HYPHEN("text"))
 row_query("norm_whitespace", lambda: t.normalize_whitespace(t.strip_soft("text")), SQL_SPACE(SQL_SOFT))
 row_query("normalize_text", lambda: t.normalize_text("text"), SQL_NORMAL)
-row_query("xml_sanitize", lambda: t.xml_safe("translated_text"), "replace(translated_text, chr(1), '')")
+_CONTROL = "".join(map(chr, range(1, 33)))
+row_query("xml_sanitize", lambda: t.xml_safe(F.concat("translated_text", F.lit(_CONTROL))), "translated_text || chr(9) || chr(10) || chr(13) || ' '".replace("translated_text", "replace(translated_text, chr(1), '')"))
 row_query("text_sha256", lambda: t.sha256("text"), "sha256(text)")
 row_query("pick_text", lambda: t.pick_text("translated_text", F.lit(None).cast("string"), "text"), "CASE WHEN translated_text <> '' THEN translated_text ELSE text END")
 row_query("unicode_nfc", lambda: t.nfc("text"), "trim(nfc_normalize(text), ' ' || chr(10))")
@@ -148,7 +149,10 @@ row_query("figure_caption", lambda: k.figure_caption("text"), "regexp_matches(lo
 row_query("looks_list", lambda: k.looks_list("text"), rf"regexp_matches({_strip('text')}, '^[•*–—-]') OR regexp_matches({_strip('text')}, '^\(?\d+[.)]\s+') OR regexp_matches(lower({_strip('text')}), '^[ivxlcdm]+\.\s+')")
 row_query("table_block", lambda: k.table_block("text"), "CASE WHEN contains(text, '|') THEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) >= 2 AND len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT contains(x, '|'))) = 0 ELSE false END")
 row_query("heading_candidate", lambda: k.heading_candidate("text"), f"(WITH x AS (SELECT {_strip('text')} AS t) SELECT length(t) >= 4 AND (length(t) < 60 OR (upper(t) = t AND lower(t) <> t) OR (NOT regexp_matches(t, '[.!?]$') AND length(t) < 120)) FROM x)")
-row_query("valid_heading", lambda: k.valid_heading("text"), f"length(replace({_strip('text')}, 'ß', 'SS')) BETWEEN 5 AND 200")  # upper case has it as two letters
+row_query(  # upper case has sharp s as two letters
+    "valid_heading", lambda: k.valid_heading(F.when(F.col("order") % 3 == 0, " Введение ").when(F.col("order") % 3 == 1, "список литературы").otherwise(F.col("text"))),
+    f"""CASE WHEN "order" % 3 < 2 THEN false ELSE length(replace({_strip('text')}, 'ß', 'SS')) BETWEEN 5 AND 200 END""",
+)
 row_query("untranslated", lambda: k.untranslated("text", "translated_text"), "text <> '' AND translated_text = ''")
 row_query("role_v1", lambda: k.role_v1("text", F.lit("paragraph")), rf"CASE WHEN length({_strip('text')}) <= 80 AND NOT regexp_matches({_strip('text')}, '[.!?…]$') AND regexp_matches(lower({_strip('text')}), '^(abstract|summary|keywords|graphical abstract)') THEN 'heading2' ELSE 'paragraph' END")
 row_query("preserve_tokens", lambda: p.preserve_tokens("translated_text", F.array(F.lit("FIG. 1"), F.lit("the"), F.lit("FIG. 1A"), F.lit(" "))), """
@@ -191,9 +195,10 @@ _LC = r"([A-Za-z][^A-Za-zЀ-ӿ\s]*)([Ѐ-ӿ])"
 _CL = r"([Ѐ-ӿ][^A-Za-zЀ-ӿ\s]*)([A-Za-z])"
 
 
-@query(rf"""SELECT book_id, id, CASE WHEN length(text) >= 200 THEN regexp_replace(regexp_replace(text, '{_LC}', '\1 \2', 'g'), '{_CL}', '\1 \2', 'g') ELSE text END AS value FROM blocks""")
+@query(rf"""SELECT book_id, id, CASE WHEN length(x) >= 200 THEN regexp_replace(regexp_replace(replace(replace(x, ' НТакупунктура,', ' Акупунктура,'), ' NТакупунктура ', ' Акупунктура '), '{_LC}', '\1 \2', 'g'), '{_CL}', '\1 \2', 'g') ELSE x END AS value FROM (SELECT *, 'a НТакупунктура, b NТакупунктура c NТакупунктуры ' || text AS x FROM blocks)""")
 def editor_pass(spark, sf_dir):
-    return blocks(spark, sf_dir).select(*KEYS, p.editor_pass("text").alias("value"))
+    """Both misread words stand in every text, and one form of them that is no such word."""
+    return blocks(spark, sf_dir).select(*KEYS, p.editor_pass(F.concat(F.lit("a НТакупунктура, b NТакупунктура c NТакупунктуры "), "text")).alias("value"))
 
 
 _MARK = chr(2)
@@ -343,14 +348,60 @@ def block_to_paragraphs(spark, sf_dir):
     return lay.paragraph_rows(blocks(spark, sf_dir)).select("book_id", "page", "n1", "n2", "n3", "type", "text")
 
 
-@query()
+_SQL_PLAIN = f"""SELECT * REPLACE (CASE WHEN "order" % 5 = 0 THEN '1 Intro' || chr(10) || text ELSE text END AS text, CASE WHEN "order" % 10 = 0 THEN '' WHEN "order" % 5 = 0 THEN '1 Введение ' || translated_text ELSE translated_text END AS translated_text),
+  CASE WHEN "order" % 15 = 5 THEN '' WHEN "order" % 5 = 0 THEN ' 1 Intro' || chr(10) || text ELSE text END AS normalized_text, CASE WHEN "order" % 11 = 3 THEN 'Subtitle' ELSE '' END AS role FROM blocks"""
+
+
+def _sql_packed(sentences: str, most: int, blanks: bool) -> str:
+    """Greedy packing of a list of sentences, as a fold over the list."""
+    cuts = f"list_transform(range(0, length(x.now), {most}), lambda i: {_strip(f'substr(x.now, i + 1, {most})')})"
+    cuts = cuts if blanks else f"list_filter({cuts}, lambda y: y <> '')"
+    flushed = "CASE WHEN a.now = '' THEN a.done ELSE list_append(a.done, a.now) END"
+    joined = "CASE WHEN a.now = '' THEN x.now ELSE a.now || ' ' || x.now END"
+    none = "[]::VARCHAR[]"
+    step = f"CASE WHEN length(x.now) > {most} THEN {{'done': list_concat({flushed}, {cuts}), 'now': ''}} WHEN length({joined}) <= {most} THEN {{'done': a.done, 'now': {joined}}} ELSE {{'done': {flushed}, 'now': x.now}} END"
+    items = f"list_prepend({{'done': {none}, 'now': ''}}, list_transform(list_filter({sentences}, lambda y: y <> ''), lambda y: {{'done': {none}, 'now': y}}))"
+    return f"(WITH f AS (SELECT list_reduce({items}, lambda a, x: {step}) AS z) SELECT CASE WHEN z.now = '' THEN z.done ELSE list_append(z.done, z.now) END FROM f)"
+
+
+def _sql_sentences(c: str) -> str:
+    return f"list_transform(string_split(regexp_replace({c}, '([.!?…])[\\s\\x{{A0}}]+', '\\1' || chr(2), 'g'), chr(2)), lambda y: {_strip('y')})"
+
+
+@query(rf""", given AS ({_SQL_PLAIN}),
+texts AS (SELECT book_id, page, "order", id, role, {_strip("CASE WHEN translated_text <> '' THEN translated_text ELSE text END")} AS t, {_strip("CASE WHEN normalized_text <> '' THEN normalized_text ELSE text END")} AS src FROM given),
+cut AS (SELECT *, regexp_extract(t, '(?s)^\s*(\d+[.)]?\s+\S+)\s+(.*)$', 1) AS h, {_strip(r"regexp_extract(t, '(?s)^\s*(\d+[.)]?\s+\S+)\s+(.*)$', 2)")} AS bd FROM texts),
+split AS (SELECT *, regexp_matches(src, '^\d+[.)]?\s+\S+') AND strpos(src, chr(10)) BETWEEN 1 AND 81 AND h <> '' AND length(h) <= 80 AND bd <> '' AS two FROM cut),
+bodies AS (SELECT *, CASE WHEN two THEN bd ELSE t END AS r, CASE WHEN lower(role) IN ('heading1', 'chapter', 'title', 'heading') THEN 'heading1' WHEN lower(role) IN ('heading2', 'subtitle', 'subheading') THEN 'heading2'
+  WHEN length(t) <= 80 AND NOT regexp_matches(t, '[.!?…]$') AND regexp_matches(lower(t), '^(abstract|резюме|аннотация|summary|keywords|ключевые слова|graphical abstract|графическая абстракция)') THEN 'heading2' ELSE 'paragraph' END AS kind FROM split),
+parts AS (SELECT book_id, page, "order", id, 0 AS n, 'heading2' AS k, h AS x FROM bodies WHERE two
+  UNION ALL SELECT book_id, page, "order", id, 1, CASE WHEN r = '' THEN 'empty' WHEN NOT two AND kind <> 'paragraph' THEN kind WHEN regexp_matches(r, '^([•*‣-]|\d{{1,2}}[.)])\s+') THEN 'list_item' WHEN length(r) > 800 THEN 'long' ELSE 'body' END,
+  CASE WHEN (two OR kind = 'paragraph') AND regexp_matches(r, '^([•*‣-]|\d{{1,2}}[.)])\s+') THEN {_strip(r"regexp_replace(r, '^([•*‣-]|\d{1,2}[.)])\s+', '')")} ELSE r END FROM bodies),
+seen AS (SELECT *, lag(k) OVER w AS bk, lag(regexp_matches(x, '[.!?…]$')) OVER w AS ended FROM parts WINDOW w AS (PARTITION BY book_id ORDER BY page, "order", id, n)),
+numbered AS (SELECT *, sum(CASE WHEN k <> 'body' OR bk IS NULL OR bk <> 'body' OR ended THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY page, "order", id, n) AS g FROM seen),
+joined AS (SELECT book_id, g, first(page ORDER BY page, "order", id, n) AS page, first(k ORDER BY page, "order", id, n) AS k, string_agg(x, ' ' ORDER BY page, "order", id, n) AS text FROM numbered WHERE k <> 'empty' GROUP BY book_id, g),
+listed AS (SELECT *, CASE WHEN k = 'long' THEN {_sql_packed(_sql_sentences("text"), 600, False)} ELSE [text] END AS xs FROM joined),
+every AS (SELECT book_id, g, page, k, unnest(xs) AS text, generate_subscripts(xs, 1) AS part FROM listed)
+SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY g, part) - 1)::INTEGER AS seq, CASE WHEN k IN ('body', 'long') THEN 'paragraph' ELSE k END AS type, text, page FROM every""")
 def reassemble_v1(spark, sf_dir):
-    return lay.reassemble(blocks(spark, sf_dir))
+    """Blocks of which some break after a numbered heading, in their text, their normalised text or both, and some have a role."""
+    five, order = F.col("order") % 5 == 0, F.col("order")
+    rows = blocks(spark, sf_dir)
+    opened = F.concat(F.lit("1 Intro\n"), "text")
+    rows = rows.withColumns({
+        "normalized_text": F.when(order % 15 == 5, "").when(five, F.concat(F.lit(" "), opened)).otherwise(F.col("text")),
+        "text": F.when(five, opened).otherwise(F.col("text")),
+        "translated_text": F.when(order % 10 == 0, "").when(five, F.concat(F.lit("1 Введение "), "translated_text")).otherwise(F.col("translated_text")),
+        "role": F.when(order % 11 == 3, "Subtitle").otherwise(""),
+    })
+    return lay.reassemble(rows)
 
 
-@query()
+@query(f"""SELECT book_id, id, generate_subscripts(xs, 1)::INTEGER - 1 AS n, unnest(xs) AS chunk FROM (SELECT book_id, id, CASE WHEN length(x) <= 350 THEN [x] ELSE {_sql_packed(_sql_sentences("x"), 350, True)} END AS xs FROM (SELECT book_id, id, {_strip("text || '  ' || text || '. ' || translated_text || '   ' || text")} AS x FROM blocks))""")
 def chunk_sentences(spark, sf_dir):
-    return blocks(spark, sf_dir).select(*KEYS, F.posexplode(s.chunk_sentences("text")).alias("n", "chunk"))
+    """Longer texts than blocks are, so that many are packed and some sentences are cut."""
+    long = F.concat("text", F.lit("  "), "text", F.lit(". "), "translated_text", F.lit("   "), "text")
+    return blocks(spark, sf_dir).select(*KEYS, F.posexplode(s.chunk_sentences(long)).alias("n", "chunk"))
 
 
 @query("""SELECT book_id, id, n, array_to_string(list_transform(string_split(line, '|'), lambda x: trim(x)), '~') AS cells FROM (SELECT book_id, id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS line, (generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1) - 1)::INTEGER AS n FROM blocks WHERE contains(text, '|'))""")
@@ -384,7 +435,13 @@ def _page_texts(spark, sf_dir):
     return ch.page_texts(blocks(spark, sf_dir))
 
 
-SQL_PAGES = """, pages_t AS (SELECT book_id, page, string_agg(text, chr(10) ORDER BY "order") AS text FROM blocks WHERE trim(text) <> '' GROUP BY ALL)"""
+@query(f"""SELECT book_id, page, sha256(string_agg(x, chr(10) ORDER BY "order")) AS text_sha256 FROM (SELECT book_id, page, "order", {_strip("nfc_normalize(chr(9) || text || ' e' || chr(769) || chr(160))")} AS x FROM blocks) GROUP BY book_id, page""")
+def page_texts_nfc(spark, sf_dir):
+    """Blocks that end in a decomposed letter and begin and end in white space."""
+    return ch.page_texts(blocks(spark, sf_dir).withColumn("text", F.concat(F.lit("\t"), "text", F.lit(" e\u0301\u00a0")))).select("book_id", "page", F.sha2("text", 256).alias("text_sha256"))
+
+
+SQL_PAGES = f""", tidy AS (SELECT book_id, page, "order", {_strip("nfc_normalize(text)")} AS text FROM blocks), pages_t AS (SELECT book_id, page, string_agg(text, chr(10) ORDER BY "order") AS text FROM tidy WHERE text <> '' GROUP BY ALL)"""
 SQL_CHAPTERS = SQL_PAGES + f""", cand AS (SELECT *, {_strip("text")} AS t FROM blocks), heads AS (SELECT book_id, page, "order", t FROM cand WHERE length(t) >= 4 AND (length(t) < 60 OR (upper(t) = t AND lower(t) <> t) OR (NOT regexp_matches(t, '[.!?]$') AND length(t) < 120)) AND length(replace(t, 'ß', 'SS')) BETWEEN 5 AND 200),
 lagged AS (SELECT *, lag(t) OVER (PARTITION BY book_id ORDER BY page, "order") AS before FROM heads),
 chapters AS (SELECT book_id, (row_number() OVER w)::INTEGER AS number, t AS title, page AS page_start, (lead(page) OVER w - 1)::INTEGER AS page_end FROM lagged WHERE before IS NULL OR before <> t WINDOW w AS (PARTITION BY book_id ORDER BY page, "order")),
@@ -401,10 +458,11 @@ def chapters_range_join(spark, sf_dir):
     return ch.chapter_pages(ch.chapter_map(ch.headings(blocks(spark, sf_dir))), _page_texts(spark, sf_dir)).select("book_id", "number", "page")
 
 
-@query(SQL_CHAPTERS + r""" SELECT c.book_id, number, lpad(number::VARCHAR, 2, '0') || ' - ' || trim(regexp_replace(substr(title, 1, 80), '[\\/:*?"<>|]', '_', 'g')) || '.txt' AS file, sha256(string_agg(p.text, chr(10) ORDER BY page)) AS text_sha256 FROM chapters c JOIN last USING (book_id) JOIN pages_t p ON p.book_id = c.book_id AND p.page BETWEEN page_start AND coalesce(page_end, last) GROUP BY c.book_id, number, title""")
+@query(SQL_CHAPTERS + r""" SELECT c.book_id, number + 90 AS number, CASE WHEN number + 90 < 10 THEN '0' ELSE '' END || (number + 90) || ' - ' || regexp_replace(substr(title, 1, 80), '[\\/:*?"<>|]', '_', 'g') || '.txt' AS file, sha256(string_agg(p.text, chr(10) ORDER BY page)) AS text_sha256 FROM (SELECT * REPLACE (nfc_normalize(title) AS title) FROM chapters) c JOIN last USING (book_id) JOIN pages_t p ON p.book_id = c.book_id AND p.page BETWEEN page_start AND coalesce(page_end, last) GROUP BY c.book_id, number, title""")
 def chapter_texts(spark, sf_dir):
-    out = ch.chapter_texts(ch.chapter_map(ch.headings(blocks(spark, sf_dir))), _page_texts(spark, sf_dir))
-    return out.select("book_id", F.col("number"), F.when(F.col("number") > 99, F.concat(F.substring("number", 1, 2), F.expr("substring(file, 3)"))).otherwise(F.col("file")).alias("file"), F.sha2("text", 256).alias("text_sha256"))
+    """Chapters numbered from 91 on, so that numbers of two and of three digits occur."""
+    found = ch.chapter_map(ch.headings(blocks(spark, sf_dir))).withColumn("number", F.col("number") + 90)
+    return ch.chapter_texts(found, _page_texts(spark, sf_dir)).select("book_id", "number", "file", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(SQL_PAGES + " SELECT book_id, sha256(string_agg('=== PAGE ' || page || ' ===' || chr(10) || text || chr(10), chr(10) ORDER BY page)) AS text_sha256 FROM pages_t GROUP BY book_id")
@@ -533,14 +591,26 @@ def similarity_ratio(spark, sf_dir):
     return blocks(spark, sf_dir).select(*KEYS, t.similarity("text", "translated_text").alias("ratio"))
 
 
-@query()
+def _sql_language() -> str:
+    """Languages by the count of their frequent words, first of equals."""
+    count = lambda words: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in words.split()) + ")))"
+    return "[" + ", ".join(f"{{'n': {count(words)}, 'i': {-i}, 'lang': '{name}'}}" for i, (name, words) in enumerate(t.COMMON.items())) + "]"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN best.n > 0 THEN best.lang END AS language FROM (SELECT doc_id, list_max({_sql_language()}) AS best FROM (SELECT doc_id, string_split_regex(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_]+') AS w FROM documents))""")
 def detect_language(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", t.detect_language("text").alias("language"))
 
 
-@query("SELECT book_id, id, 'text' AS violation FROM blocks WHERE trim(text) = '' AND false")
+@query("""SELECT book_id, CASE WHEN "order" % 7 <> 1 THEN id END AS id, "order" AS n, CASE WHEN "order" % 7 = 1 THEN 'id' WHEN "order" % 7 = 2 THEN 'page' WHEN "order" % 7 = 3 THEN 'order' ELSE 'text' END AS violation FROM blocks WHERE "order" % 7 BETWEEN 1 AND 5""")
 def contract_violations(spark, sf_dir):
-    return b.violations(blocks(spark, sf_dir), "text").select(*KEYS, "violation")
+    """Every rule is broken by some rows: no id, a page that is no whole number, no order, a blank and a missing text."""
+    at = F.col("order") % 7
+    rows = blocks(spark, sf_dir).withColumns({
+        "n": F.col("order"), "id": F.when(at != 1, F.col("id")), "page": F.when(at == 2, "1.5").otherwise(F.col("page").cast("string")),
+        "order": F.when(at != 3, F.col("order")), "text": F.when(at == 4, " \t\n").when(at != 5, F.col("text")),
+    })
+    return b.violations(rows, "text").select("book_id", "id", "n", "violation")
 
 
 @query()
@@ -550,7 +620,10 @@ def book_pipeline(spark, sf_dir):
     return run_book(blocks(spark, sf_dir).drop("translated_text"), gate=False)["paragraphs"].select("book_id", "seq", "type", "text", "page")
 
 
-row_query("clean_model_output", lambda: t.clean_model_output("translated_text", "text"), f"(WITH x AS (SELECT {_strip('translated_text')} AS o) SELECT CASE WHEN translated_text = '' OR length(o) < 3 THEN text ELSE o END FROM x)")
+row_query(  # some outputs are Arabic, or nearly so
+    "clean_model_output", lambda: t.clean_model_output(F.when(F.col("order") % 4 == 1, F.concat(F.lit("سلام"), "translated_text", F.lit("©"))).when(F.col("order") % 4 == 2, "م ab ©").otherwise(F.col("translated_text")), "text"),
+    f"""(WITH x AS (SELECT CASE "order" % 4 WHEN 2 THEN 'ab' ELSE {_strip('translated_text')} END AS o) SELECT CASE WHEN length(o) < 3 THEN text ELSE o END FROM x)""",
+)
 row_query("unix_text", lambda: t.unix_text("text"), _strip("text"))
 row_query("basename", lambda: t.basename(F.concat(F.lit("C:\\books/"), "id", F.lit(".pdf"))), "id || '.pdf'")
 row_query("formula_check", lambda: k.bad_formula(F.when(F.col("order") % 2 == 0, "formula").otherwise("text"), "text"), """"order" % 2 = 0 AND NOT contains(text, '=')""")

@@ -64,9 +64,12 @@ def broken_chars(c: Column) -> Column:
 
 def row_issues(pairs: DataFrame) -> DataFrame:
     """An array of (type, severity, message) for each pair, in the order of the checks."""
-    src, tgt = strip(F.coalesce("s.text", F.lit(""))), strip(F.coalesce("t.translated_text", F.lit("")))
+    # staged: each text is stripped once, and each search runs once
+    pairs = pairs.withColumns({"_src": strip(F.coalesce("s.text", F.lit(""))), "_tgt": strip(F.coalesce("t.translated_text", F.lit("")))})
+    src, tgt = F.col("_src"), F.col("_tgt")
+    pairs = pairs.withColumns({"_joined": joined_scripts(tgt), "_terms": suspect_terms(tgt), "_twins": repeated_tokens(tgt), "_broken": broken_chars(tgt), "_letters": F.struct(*[x.alias(n) for n, x in zip(("latin", "cyrillic"), letters(tgt))])})
     a, b = F.length(src), F.length(tgt)
-    latin, cyrillic = letters(tgt)
+    latin, cyrillic = F.col("_letters.latin"), F.col("_letters.cyrillic")
     ratio = b / F.nullif(a, F.lit(0))
     share = lambda x: x / F.nullif(latin + cyrillic, F.lit(0))
     both = (a > 0) & (b > 0)
@@ -77,32 +80,37 @@ def row_issues(pairs: DataFrame) -> DataFrame:
         issue((b == 0) & (a > 0), "empty_translation", F.when(a > 20, high).otherwise(medium), a),
         issue((a == 0) & (b > 0), "empty_source", medium, b),
         issue(both & ((ratio < 0.3) | (ratio > 3)), "length_mismatch", F.when((ratio < 0.15) | (ratio > 5), high).otherwise(medium), F.round(ratio, 3)),
-        issue(F.size(broken_chars(tgt)) > 0, "suspicious_chars", medium, joined(broken_chars(tgt))),
+        issue(F.size("_broken") > 0, "suspicious_chars", medium, joined("_broken")),
         issue((a > 80) & (b > 0) & ~F.substring(tgt, -1, 1).isin(*".!?;:,-–"), "potential_break", low, F.substring(tgt, -1, 1)),
         issue((share(cyrillic) >= 0.5) & (share(latin) >= 0.2), "mixed_alphabet", medium, F.concat_ws(",", F.round(share(latin), 3), F.round(share(cyrillic), 3))),
-        issue(F.size(joined_scripts(tgt)) > 0, "concatenated_scripts", medium, joined(joined_scripts(tgt))),
-        issue(F.size(suspect_terms(tgt)) > 0, "suspect_terms_en_in_ru", low, joined(F.array_sort(suspect_terms(tgt)))),
-        issue(F.size(repeated_tokens(tgt)) > 0, "repeated_tokens", low, joined(repeated_tokens(tgt))),
+        issue(F.size("_joined") > 0, "concatenated_scripts", medium, joined("_joined")),
+        issue(F.size("_terms") > 0, "suspect_terms_en_in_ru", low, joined(F.array_sort("_terms"))),
+        issue(F.size("_twins") > 0, "repeated_tokens", low, joined("_twins")),
     ]
-    return pairs.withColumn("issues", F.filter(F.array(*checks), lambda x: x.isNotNull()))
+    return pairs.withColumn("issues", F.filter(F.array(*checks), lambda x: x.isNotNull())).select("book_id", "id", "s", "t", "issues")
+
+
+def _checked(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Every pair with its issues: pairs by id, of which one side may be missing, and pairs by place."""
+    only = lambda when, kind: F.when(when, F.array(F.struct(F.lit(kind).alias("type"), F.lit("high").alias("severity"), F.lit("").alias("message"))))
+    rows = row_issues(pair(source, target))
+    rows = rows.withColumn("issues", F.coalesce(only(F.col("t").isNull(), "lost_block"), only(F.col("s").isNull(), "extra_block"), F.col("issues")))
+    return rows.unionByName(row_issues(pair_by_place(source, target)))
 
 
 def check(source: DataFrame, target: DataFrame) -> DataFrame:
     """Issues of a book's translation as rows: lost and extra blocks, then what each pair shows."""
-    pairs = pair(source, target)
-    only = lambda when, kind: F.when(when, F.array(F.struct(F.lit(kind).alias("type"), F.lit("high").alias("severity"), F.lit("").alias("message"))))
-    rows = row_issues(pairs).withColumn("issues", F.coalesce(only(F.col("t").isNull(), "lost_block"), only(F.col("s").isNull(), "extra_block"), F.col("issues")))
-    rows = rows.unionByName(row_issues(pair_by_place(source, target)))
     at = lambda c: F.coalesce(f"s.{c}", f"t.{c}").alias(c)
-    return rows.select("book_id", F.col("id").alias("block_id"), at("page"), at("order"), F.explode("issues").alias("x")).select("book_id", "block_id", "page", "order", "x.*")
+    return _checked(source, target).select("book_id", F.col("id").alias("block_id"), at("page"), at("order"), F.explode("issues").alias("x")).select("book_id", "block_id", "page", "order", "x.*")
 
 
 def report(source: DataFrame, target: DataFrame) -> DataFrame:
-    """One row for each book: status, total_blocks, checked, issues_total and issues by severity."""
-    found = check(source, target).groupBy("book_id").agg(F.count("*").alias("issues_total"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")])
+    """One row for each book: status, total_blocks, checked, issues_total and issues by severity. The tables are paired once."""
+    severe = lambda s: F.sum(F.size(F.filter("issues", lambda x: x["severity"] == s))).alias(s)
+    both = F.col("id").isNotNull() & F.col("s").isNotNull() & F.col("t").isNotNull()
+    found = _checked(source, target).groupBy("book_id").agg(F.count_if(both).alias("checked"), F.sum(F.size("issues")).alias("issues_total"), *map(severe, ("high", "medium", "low")))
     totals = source.groupBy("book_id").agg(F.count("*").alias("total_blocks"))
-    checked = pair(source, target).where("s is not null and t is not null").groupBy("book_id").agg(F.count("*").alias("checked"))
-    out = totals.join(checked, "book_id", "full_outer").join(found, "book_id", "full_outer").na.fill(0)
+    out = totals.join(found, "book_id", "full_outer").na.fill(0)
     return out.withColumn("status", F.when(F.col("high") > 0, "error").when(F.col("issues_total") > 0, "warn").otherwise("ok"))
 
 

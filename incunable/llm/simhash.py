@@ -128,10 +128,14 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, blocks: int = BLOCKS, shi
     """
     fps = materialize(fingerprints(docs, shingle, seed, id_col, text_col))
     nodes = components(links(fps, bits, blocks))
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = least.join(nodes, least.fp == nodes.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
-    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = roots.join(ids, "root").select("fp", "component_id")
+    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # tables of their own, so that a component or a fingerprint with very many rows is only ever the split side of a join
+    linked = materialize(least.join(nodes, least.fp == nodes.node).select("fp", F.col("component").alias("root"), "least"))
+    of_root = linked.groupBy("root").agg(F.min("least").alias("other"))
+    roots = materialize(least.join(of_root, least.fp == of_root.root, "left").select("fp", F.col("root").isNotNull().alias("joins"), F.least("least", "other").alias("component_id")))
+    members = linked.select("fp", "root").join(roots.where("joins").select(F.col("fp").alias("root"), "component_id"), "root").select("fp", "component_id")
+    alone = roots.join(linked.select("fp"), "fp", "left_anti").select("fp", "component_id")
+    by_fp = materialize(members.unionByName(alone))
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -184,9 +184,11 @@ def _by_shuffle(docs: DataFrame, bench: DataFrame, span: int, gram: int, id_col:
     ks = sorted({span, *lengths})
     theirs = base.mapInArrow(windows(ks, True), "id string, start long, k long, digest binary").select("digest", F.col("id").alias("item_id")).distinct()
     ours = keyed.join(near, "row", "left").where(F.lit(bool(lengths)) | F.col("places").isNotNull()).select("row", "text", "places").mapInArrow(windows(ks, False), "id string, start long, k long, digest binary")
-    met = ours.join(theirs, "digest").select(F.col("id").alias("row"), "start", "k", "item_id")
-    words = met.select("row", F.explode(F.sequence("start", F.col("start") + F.col("k") - 1)).alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    which = met.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    # words need to know only that a window is some item's; items are met once for each document and distinct window
+    hit = ours.join(theirs.select("digest").distinct(), "digest", "left_semi")
+    words = hit.select(F.col("id").alias("row"), F.explode(F.sequence("start", F.col("start") + F.col("k") - 1)).alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    met = ours.select(F.col("id").alias("row"), "digest").distinct().join(theirs, "digest").select("row", "item_id").distinct()
+    which = met.groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
 
     def count(batches):
         for batch in batches:

@@ -44,8 +44,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by long strings that also start elsewhere go; n_chars follows the text of documents that lose any."""
-    out = dedup_bytes(docs, carry=("doc_id", "lang", "source", "n_chars"))
+    """Characters covered by long strings of bytes that also start elsewhere go, whole ones only; n_chars follows the text of documents that lose any."""
+    out = dedup_bytes(docs, carry=("doc_id", "lang", "source", "n_chars"), characters=True)
     less = F.col("n_removed") > 0
     return out.select("carry.doc_id", F.col("kept").alias("text"), "carry.lang", "carry.source", F.when(less, F.length("kept").cast("long")).otherwise(F.col("carry.n_chars")).alias("n_chars"))
 
@@ -57,9 +57,9 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids (32-bit, little-endian), their number, and the text that they decode to."""
-    out = bpe(docs)
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("text"))
+    """Each document's token ids (32-bit, little-endian), their number, the text that they decode to, and its other columns."""
+    out = bpe(docs, carry=("lang", "source", "n_chars"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("text"), "carry.*")
 
 
 STAGES = [

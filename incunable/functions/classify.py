@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, first_filled, lines, strip
+from .text import col, first_filled, lines, once, strip
 
 # Words and marks that the rules look for.
 BULLETS = ("- ", "* ", "• ", "∙ ", "· ")
@@ -132,14 +132,11 @@ def table_block(c: Column | str) -> Column:
 
 
 def heading_candidate(c: Column | str) -> Column:
-    t = strip(_text(c))
-    n = F.length(t)
-    return (n >= 4) & ((n < 60) | is_upper(t) | (~ends(t, ".!?") & (n < 120)))
+    return once(strip(_text(c)), lambda t: (F.length(t) >= 4) & ((F.length(t) < 60) | is_upper(t) | (~ends(t, ".!?") & (F.length(t) < 120))))
 
 
 def valid_heading(c: Column | str) -> Column:
-    t = strip(F.upper(_text(c)))
-    return ~t.isin(*NO_CHAPTERS) & F.length(t).between(5, 200)
+    return once(strip(F.upper(_text(c))), lambda t: ~t.isin(*NO_CHAPTERS) & F.length(t).between(5, 200))
 
 
 def text_status(n: Column | str) -> Column:

@@ -32,6 +32,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+\z", "")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value computed once, however often it is used: a filter repeats what it is pushed through."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_filled(*cs: Column | str) -> Column:
     """The first value that is neither null nor empty, else an empty string."""
     return F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cs], F.lit(""))

@@ -142,12 +142,18 @@ row_query("unicode_nfc", lambda: t.nfc("text"), "trim(nfc_normalize(text), ' ' |
 row_query("block_type", lambda: k.block_type("text"), "CASE WHEN trim(text) LIKE '%:' THEN 'heading' ELSE 'text' END")
 row_query("list_item", lambda: k.list_item("text"), rf"regexp_matches({_strip('text')}, '^[-*•∙·] ') OR regexp_matches({_strip('text')}, '^\d+[.)]\s+')")
 row_query("list_text_v1", lambda: k.list_text_v1("text"), rf"CASE WHEN regexp_matches({_strip('text')}, '^([•*‣-]\s+|\d{{1,2}}[.)]\s+)') THEN regexp_replace({_strip('text')}, '^([•*‣-]\s+|\d{{1,2}}[.)]\s+)', '') END")
-row_query("page_header_footer", lambda: k.page_header_footer("text"), "lower(text) LIKE 'page % of %' OR lower(text) LIKE 'страница % из %'")
-row_query("license_note", lambda: k.license_note("text"), "lower(text) LIKE '%creative commons%' OR lower(text) LIKE '%open access%' OR (lower(text) LIKE '%springer nature%' AND lower(text) LIKE '%neutral%')")
-row_query("graphical_abstract", lambda: k.graphical_abstract("text"), "lower(text) LIKE '%graphical abstract%'")
-row_query("figure_caption", lambda: k.figure_caption("text"), "regexp_matches(lower(text), '^\\s*(figure |рисунок|рис\\.)')")
-row_query("looks_list", lambda: k.looks_list("text"), rf"regexp_matches({_strip('text')}, '^[•*–—-]') OR regexp_matches({_strip('text')}, '^\(?\d+[.)]\s+') OR regexp_matches(lower({_strip('text')}), '^[ivxlcdm]+\.\s+')")
-row_query("table_block", lambda: k.table_block("text"), "CASE WHEN contains(text, '|') THEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) >= 2 AND len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT contains(x, '|'))) = 0 ELSE false END")
+SQL_HEADER = "lower(text) LIKE 'page % of %' OR lower(text) LIKE 'страница % из %'"
+row_query("page_header_footer", lambda: k.page_header_footer("text"), SQL_HEADER)
+SQL_LICENSE = "lower(text) LIKE '%creative commons%' OR lower(text) LIKE '%open access%' OR (lower(text) LIKE '%springer nature%' AND lower(text) LIKE '%neutral%')"
+row_query("license_note", lambda: k.license_note("text"), SQL_LICENSE)
+SQL_GRAPHICAL = "lower(text) LIKE '%graphical abstract%'"
+row_query("graphical_abstract", lambda: k.graphical_abstract("text"), SQL_GRAPHICAL)
+SQL_CAPTION = "regexp_matches(lower(text), '^\\s*(figure |рисунок|рис\\.)')"
+row_query("figure_caption", lambda: k.figure_caption("text"), SQL_CAPTION)
+SQL_LIST = rf"regexp_matches({_strip('text')}, '^[•*–—-]') OR regexp_matches({_strip('text')}, '^\(?\d+[.)]\s+') OR regexp_matches(lower({_strip('text')}), '^[ivxlcdm]+\.\s+')"
+row_query("looks_list", lambda: k.looks_list("text"), SQL_LIST)
+SQL_TABLE = "CASE WHEN contains(text, '|') THEN len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) >= 2 AND len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT contains(x, '|'))) = 0 ELSE false END"
+row_query("table_block", lambda: k.table_block("text"), SQL_TABLE)
 row_query("heading_candidate", lambda: k.heading_candidate("text"), f"(WITH x AS (SELECT {_strip('text')} AS t) SELECT length(t) >= 4 AND (length(t) < 60 OR (upper(t) = t AND lower(t) <> t) OR (NOT regexp_matches(t, '[.!?]$') AND length(t) < 120)) FROM x)")
 row_query(  # upper case has sharp s as two letters
     "valid_heading", lambda: k.valid_heading(F.when(F.col("order") % 3 == 0, " Введение ").when(F.col("order") % 3 == 1, "список литературы").otherwise(F.col("text"))),
@@ -338,12 +344,41 @@ def column_order(spark, sf_dir):
     return lay.column_order(blocks(spark, sf_dir)).select(*KEYS, "place")
 
 
-@query()
+_NUMBERED = r"^\s*(\d+[.)]?)\s+([A-ZА-ЯЁ][\p{L}\p{M}\p{N}_\-() ]{2,60})\s+(.*)$"
+_TITLED = r"^\s*(\d+(?:\.\d+)*[.)]?)\s+([A-ZА-ЯЁ][^\n]{0,120})(?:\s+(.+))?"
+_part = lambda pattern, i: _strip(f"regexp_extract(text, '{pattern}', {i})")
+SQL_STRUCTURAL = f"""CASE WHEN regexp_matches(lower(text), '^(глава|chapter)\\s+\\d+\\b') THEN {{'head': text, 'body': ''}}
+  WHEN regexp_matches(text, '{_NUMBERED}') THEN {{'head': {_part(_NUMBERED, 1)} || ' ' || {_part(_NUMBERED, 2)}, 'body': {_part(_NUMBERED, 3)}}}
+  WHEN regexp_matches(text, '{_TITLED}') THEN {{'head': {_part(_TITLED, 1)} || ' ' || {_part(_TITLED, 2)}, 'body': CASE WHEN length({_part(_TITLED, 3)}) > 10 THEN {_part(_TITLED, 3)} ELSE '' END}}
+  ELSE {{'head': '', 'body': ''}} END"""
+_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')"
+_ROWS = f"list_transform({_LINES}, lambda x: list_transform(string_split(x, '|'), lambda y: {_strip('y')}))"
+_HEADING = r"(length(text) <= 80 AND regexp_matches(text, '^\p{Lu}') AND NOT regexp_matches(text, '[.:;]$')) OR coalesce(len(regexp_extract_all(text, '\p{Lu}')) / nullif(len(regexp_extract_all(text, '\p{L}')), 0) > 0.4, false)"
+#: Paragraphs of every block, n1..n3 their place on a page; cols: the widest row of a table.
+SQL_PARAGRAPHS = f"""{SQL_COLUMNS}, stripped AS (SELECT book_id, page, place, {_strip("translated_text")} AS text FROM placed),
+opened AS (SELECT *, regexp_extract(lower(text), '^(аннотация|abstract|резюме|summary)( |$)', 1) AS word FROM stripped),
+kinds AS (SELECT *, CASE WHEN text = '' OR {SQL_HEADER} OR {SQL_LICENSE} OR {SQL_GRAPHICAL} THEN 'none' WHEN word <> '' THEN 'abstract' WHEN {SQL_CAPTION} THEN 'caption' WHEN {SQL_TABLE} THEN 'table'
+  WHEN ({SQL_STRUCTURAL}).head <> '' THEN 'structural' WHEN {SQL_LIST} THEN 'list_item' WHEN {_HEADING} THEN 'heading2' ELSE 'paragraph' END AS kind FROM opened),
+two AS (SELECT *, CASE kind WHEN 'abstract' THEN {{'head': CASE word WHEN 'abstract' THEN 'Abstract' WHEN 'summary' THEN 'Summary' WHEN 'резюме' THEN 'Резюме' ELSE 'Аннотация' END, 'body': CASE WHEN length({_strip("substr(text, length(word) + 1)")}) > 10 THEN {_strip("substr(text, length(word) + 1)")} ELSE '' END}} ELSE {SQL_STRUCTURAL} END AS hb FROM kinds WHERE kind IN ('abstract', 'structural')),
+paragraphs AS (SELECT book_id, page, 1 AS n1, place AS n2, 0 AS n3, 'heading2' AS type, hb.head AS text, NULL::INTEGER AS cols FROM two
+  UNION ALL SELECT book_id, page, 1, place, 1, 'paragraph', hb.body, NULL FROM two WHERE hb.body <> ''
+  UNION ALL SELECT book_id, page, 1, place, 0, 'table', CASE WHEN {_ROWS} = [] THEN '[TABLE]' ELSE substr(array_to_string(list_transform(({_ROWS})[:3], lambda r: array_to_string(r, ' | ')), ' / '), 1, 200) END, list_max(list_transform({_ROWS}, lambda r: len(r)))::INTEGER FROM kinds WHERE kind = 'table'
+  UNION ALL SELECT book_id, page, 1, place, 0, kind, text, NULL FROM kinds WHERE kind IN ('caption', 'list_item', 'heading2', 'paragraph')
+  UNION ALL SELECT book_id, page, 0, 0, 0, 'figure', 'Graphical Abstract — Figure ' || row_number() OVER (PARTITION BY book_id ORDER BY page), NULL FROM (SELECT DISTINCT book_id, page FROM stripped WHERE {SQL_GRAPHICAL}))"""
+#: The stream: a fold over each book's paragraphs, in which a short one joins the row before it while that has room.
+_ROW = "{'type': type, 'text': text, 'page': page, 'cols': cols}"
+_NO_ROWS = "[]::STRUCT(type VARCHAR, text VARCHAR, page INTEGER, cols INTEGER)[]"
+_FOLD = "CASE WHEN x.now.type = 'paragraph' AND length(x.now.text) < 40 AND length(a.now.text) < 90 THEN {'done': a.done, 'now': {'type': a.now.type, 'text': a.now.text || ' ' || x.now.text, 'page': a.now.page, 'cols': a.now.cols}} ELSE {'done': list_append(a.done, a.now), 'now': x.now} END"
+SQL_STREAM = f"""{SQL_PARAGRAPHS}, folded AS (SELECT book_id, list_reduce(list({{'done': {_NO_ROWS}, 'now': {_ROW}}} ORDER BY page, n1, n2, n3), lambda a, x: {_FOLD}) AS z FROM paragraphs GROUP BY book_id),
+stream AS (SELECT book_id, generate_subscripts(list_append(z.done, z.now), 1)::INTEGER - 1 AS seq, unnest(list_append(z.done, z.now)) AS p FROM folded)"""
+
+
+@query(SQL_STREAM + " SELECT book_id, seq, p.type AS type, p.text AS text, p.page AS page FROM stream")
 def paragraph_stream(spark, sf_dir):
     return lay.paragraph_stream(blocks(spark, sf_dir)).select("book_id", "seq", "type", "text", "page")
 
 
-@query()
+@query(SQL_PARAGRAPHS + " SELECT book_id, page, n1, n2, n3, type, text FROM paragraphs")
 def block_to_paragraphs(spark, sf_dir):
     return lay.paragraph_rows(blocks(spark, sf_dir)).select("book_id", "page", "n1", "n2", "n3", "type", "text")
 
@@ -410,7 +445,7 @@ def table_rows(spark, sf_dir):
     return rows.select(*KEYS, "n", F.array_join("row", "~").alias("cells"))
 
 
-@query()
+@query(f"""SELECT book_id, id, x.head AS head, x.body AS body FROM (SELECT book_id, id, {SQL_STRUCTURAL} AS x FROM (SELECT book_id, id, {_strip("text")} AS text FROM blocks)) WHERE x.head <> ''""")
 def split_structural(spark, sf_dir):
     return blocks(spark, sf_dir).withColumn("x", s.split_structural("text")).where("x.head <> ''").select(*KEYS, "x.head", "x.body")
 
@@ -420,7 +455,8 @@ def split_abstract(spark, sf_dir):
     return blocks(spark, sf_dir).withColumn("x", s.split_abstract("text")).where("x.head <> ''").select(*KEYS, "x.head", "x.body")
 
 
-@query()
+@query(SQL_STREAM + f""" SELECT book_id, seq, p.type AS type, CASE p.type WHEN 'heading1' THEN 'heading' WHEN 'heading2' THEN 'heading' WHEN 'list_item' THEN 'bullet' WHEN 'caption' THEN 'caption' WHEN 'figure' THEN 'figure' WHEN 'table' THEN 'table' ELSE 'justified' END AS style,
+  CASE p.type WHEN 'heading1' THEN 1 WHEN 'heading2' THEN 2 END AS level, p.cols AS columns FROM stream WHERE {_strip("p.text")} <> '' OR p.cols IS NOT NULL""")
 def docx_plan(spark, sf_dir):
     return lay.docx_plan(lay.paragraph_stream(blocks(spark, sf_dir))).select("book_id", "seq", "type", "style", "level", "columns")
 

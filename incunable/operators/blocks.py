@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as k
+from ..functions import passes
 from ..functions import text as t
 
 REQUIRED = ("id", "page", "order")
@@ -133,5 +134,31 @@ def pages_layer(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def blocks_layer(blocks: DataFrame) -> DataFrame:
+    """The library's rows of blocks, with whatever box and protected tokens the blocks have."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in blocks.columns else F.lit("")
-    return blocks.select("book_id", "id", F.col("page").alias("page_number"), "type", text("text").alias("raw_text"), text("normalized_text").alias("normalized_text"), text("translated_text").alias("translated_text"))
+    known = blocks.schema["bbox"].dataType.names if "bbox" in blocks.columns else []
+    corner = lambda c: (F.col(f"bbox.{c}") if c in known else F.lit(None)).cast("double").alias(c)
+    bbox = F.struct(*map(corner, ("x0", "y0", "x1", "y1")))
+    bbox = F.when(F.col("bbox").isNotNull(), bbox) if known else F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")
+    tokens = F.col("protected_tokens") if "protected_tokens" in blocks.columns else F.lit(None).cast("array<string>")
+    return blocks.select("book_id", "id", F.col("page").alias("page_number"), "type", text("text").alias("raw_text"), text("normalized_text").alias("normalized_text"), text("translated_text").alias("translated_text"), bbox.alias("bbox"), F.struct(tokens.alias("protected_tokens")).alias("metadata"))
+
+
+#: Passes over a translation in their order: the stamp's key and value, the pass, and whether only a changed text is stamped.
+PASSES = (("quality_pass", "heuristic_v1", passes.quality_pass, False), ("editor_pass", "heuristic_v1", passes.editor_pass, True), ("term_pass", "v1", passes.term_pass, True))
+
+
+def run_passes(blocks: DataFrame) -> DataFrame:
+    """translated_text after the quality, editor and term passes; metadata (a map) says which were applied.
+
+    The quality pass stamps every text that is long enough for it, the others only texts that they change; a null text
+    is left alone.
+    """
+    out = blocks if "metadata" in blocks.columns else blocks.withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    for name, value, step, only_changed in PASSES:
+        out = out.withColumn("_new", step("translated_text"))
+        applied = (F.col("_new") != F.col("translated_text")) if only_changed else (F.length("translated_text") >= passes.QUALITY_FROM)
+        held = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != name)  # noqa: B023  called at once
+        stamped = F.map_concat(held, F.create_map(F.lit(name), F.lit(value)))
+        out = out.withColumns({"metadata": F.when(applied, stamped).otherwise(F.col("metadata")), "translated_text": F.col("_new")}).drop("_new")
+    return out

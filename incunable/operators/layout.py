@@ -106,8 +106,28 @@ def reassemble(blocks: DataFrame) -> DataFrame:
     return out.select("book_id", seq.alias("seq"), kind.alias("type"), "text", "page")
 
 
+def require_paragraphs(paragraphs: DataFrame) -> DataFrame:
+    """The paragraphs; raises if a column that a document needs is missing, or there is none with any text."""
+    if missing := {"type", "text"} - set(paragraphs.columns):
+        raise TypeError(f"paragraphs lack {', '.join(sorted(missing))}")
+    filled = paragraphs.agg(F.count("*").alias("n"), F.count_if(t.strip(F.coalesce("text", F.lit(""))) != "").alias("full")).first()
+    if not filled["n"]:
+        raise ValueError("there are no paragraphs")
+    if not filled["full"]:
+        raise ValueError("all paragraphs are empty")
+    return paragraphs
+
+
+def simple_docx_plan(blocks: DataFrame) -> DataFrame:
+    """(book_id, page, n, style, level, text): each page a heading of level 2, then every block's text, the empty ones too."""
+    texts = blocks.select("book_id", "page", "order", t.pick_text("translated_text", "normalized_text", "text").alias("text"))
+    rows = texts.select("book_id", "page", (F.row_number().over(Window.partitionBy("book_id", "page").orderBy("order"))).alias("n"), F.lit("paragraph").alias("style"), F.lit(None).cast("int").alias("level"), "text")
+    heads = texts.select("book_id", "page").distinct().select("book_id", "page", F.lit(0).alias("n"), F.lit("heading").alias("style"), F.lit(2).alias("level"), F.concat(F.lit("Page "), "page").alias("text"))
+    return heads.unionByName(rows)
+
+
 def docx_plan(paragraphs: DataFrame) -> DataFrame:
-    """How each paragraph is set: style, level and table width; blank ones are left out, an empty stream is an error for its writer."""
+    """How each paragraph is set: style, level and table width; blank ones are left out. require_paragraphs() checks a writer's input."""
     kind = F.lower(F.coalesce("type", F.lit("paragraph")))
     style = (
         F.when(kind.isin("heading1", "h1"), "heading").when(kind.isin("heading2", "heading", "h2"), "heading").when(kind == "list_item", "bullet").when(kind == "caption", "caption")

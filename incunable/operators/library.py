@@ -54,17 +54,53 @@ def get_page(pages_layer: DataFrame, blocks_layer: DataFrame, book_id: str, page
     return page_blocks(one, blocks_layer.where(F.col("book_id") == book_id)).orderBy("pos")
 
 
+def block_view(blocks_layer: DataFrame) -> DataFrame:
+    """Blocks as the interface shows them: tokens are never null, a box is its four corners or null."""
+    tokens = F.coalesce("metadata.protected_tokens", F.array().cast("array<string>"))
+    corners = F.when(F.col("bbox").isNotNull(), F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1"))
+    return blocks_layer.select("book_id", "id", F.col("page_number").alias("page"), "type", F.col("raw_text").alias("raw"), F.col("normalized_text").alias("normalized"), F.col("translated_text").alias("translated"), tokens.alias("protected_tokens"), corners.alias("bbox"))
+
+
 def get_block(blocks_layer: DataFrame, book_id: str, block_id: str) -> DataFrame:
     """The first block of that id; none is an error."""
-    one = blocks_layer.where((F.col("book_id") == book_id) & (F.col("id") == block_id)).limit(1)
+    one = block_view(blocks_layer.where((F.col("book_id") == book_id) & (F.col("id") == block_id))).limit(1)
     if one.isEmpty():
         raise ValueError(f"block {block_id} is not in {book_id}")
     return one
 
 
+def get_book(manifests: DataFrame, book_id: str) -> DataFrame:
+    """The manifest of one book; none is an error."""
+    one = manifests.where(F.col("book_id") == book_id).limit(1)
+    if one.isEmpty():
+        raise ValueError(f"no book {book_id}")
+    return one
+
+
 def book_structure(manifests: DataFrame, blocks_layer: DataFrame) -> DataFrame:
-    rows = blocks_layer.select("book_id", "id", F.col("page_number").alias("page"), "type", F.col("raw_text").alias("raw"), F.col("normalized_text").alias("normalized"), F.col("translated_text").alias("translated"))
-    return manifests.select("book_id", "pages", "metadata.title").join(rows, "book_id")
+    """Every book's number of pages and metadata with each of its blocks."""
+    return manifests.select("book_id", "pages", "metadata").join(block_view(blocks_layer).withColumnRenamed("page", "block_page"), "book_id")
+
+
+#: The names of a book's output files by format.
+EXPORTS = {"json": "book.json", "txt": "book_ru.txt", "docx": "book_ru.docx"}
+
+
+def book_info(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """(book_id, title, source, pages, json, txt, docx): what is known of each book and which outputs it has, by files (book_id, name)."""
+    have = files.groupBy("book_id").agg(*[F.bool_or(F.col("name") == name).alias(kind) for kind, name in EXPORTS.items()])
+    rows = manifests.select("book_id", F.coalesce("metadata.title", F.lit("(unknown)")).alias("title"), F.coalesce(F.nullif(t.basename("source_pdf"), F.lit("")), F.lit("?")).alias("source"), F.coalesce(F.col("metadata.pages").cast("string"), F.lit("?")).alias("pages"))
+    return rows.join(have, "book_id", "left").na.fill(False, list(EXPORTS))
+
+
+def export_path(manifests: DataFrame, files: DataFrame, book_id: str, kind: str) -> str:
+    """Where a book's output of a format is, under the folder of outputs; an unknown format, book or file is an error."""
+    if kind not in EXPORTS:
+        raise ValueError(f"no format {kind}")
+    get_book(manifests, book_id)
+    if files.where((F.col("book_id") == book_id) & (F.col("name") == EXPORTS[kind])).isEmpty():
+        raise ValueError(f"{book_id} has no {kind}")
+    return f"{book_id}/{EXPORTS[kind]}"
 
 
 def latest_book(books: DataFrame) -> DataFrame:

@@ -21,15 +21,27 @@ def register(name: str, make: Callable[[str], Adapter]) -> None:
     _ADAPTERS[name] = make
 
 
-def python_adapter(function: Callable[[str], str]) -> Callable[[str], Adapter]:
-    """An adapter over Arrow batches from a function of one text; where that raises, the row's translation is null."""
+#: Models that this worker has loaded, by loader and name.
+_LOADED: dict = {}
+
+
+def python_adapter(function: Callable, load: Callable[[str], object] | None = None) -> Callable[[str], Adapter]:
+    """An adapter over Arrow batches from a function of one text; where that raises, the row's translation is null.
+
+    With `load`, function(model, text) gets what load(name) gave; each worker loads a model once and keeps it.
+    """
 
     def make(model: str) -> Adapter:
         @F.pandas_udf(T.StringType())
         def run(texts: pd.Series) -> pd.Series:
+            if load:
+                key = (load.__module__, load.__qualname__, model)
+                if key not in _LOADED:
+                    _LOADED[key] = load(model)
+
             def one(x):
                 try:
-                    return function(x)
+                    return function(_LOADED[key], x) if load else function(x)
                 except Exception:  # noqa: BLE001  one row's failure must not end the job
                     return None
 
@@ -40,6 +52,35 @@ def python_adapter(function: Callable[[str], str]) -> Callable[[str], Adapter]:
     return make
 
 
+class TextModel:
+    """What a provider offers, on columns. A provider overrides what it can do; the rest raises."""
+
+    def translate(self, text: Column) -> Column:
+        raise NotImplementedError("translate")
+
+    def analyze(self, text: Column) -> Column:
+        raise NotImplementedError("analyze")
+
+    def qa(self, source: Column, target: Column) -> Column:
+        raise NotImplementedError("qa")
+
+    def ocr(self, image: Column) -> Column:
+        raise NotImplementedError("ocr")
+
+
+class EchoModel(TextModel):
+    """Texts as they are; a check compares them for equality."""
+
+    def translate(self, text: Column) -> Column:
+        return text
+
+    def analyze(self, text: Column) -> Column:
+        return text
+
+    def qa(self, source: Column, target: Column) -> Column:
+        return F.struct(semantic_score(source, target).alias("semantic_score"), F.array().cast("array<string>").alias("issues"))
+
+
 def unavailable(name: str) -> Callable[[str], Adapter]:
     def make(model: str) -> Adapter:
         raise NotImplementedError(f"the adapter {name} needs a service that is not configured")

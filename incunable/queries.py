@@ -574,6 +574,26 @@ def book_artefacts(spark, sf_dir):
     return lib.artefacts(m, files)
 
 
+@query(f"""SELECT m.book_id, m.title, source_pdf AS source, m.pages::VARCHAR AS pages, m.pages % 2 = 0 AS json, false AS txt, true AS docx FROM ({SQL_MANIFESTS}) m""")
+def book_info(spark, sf_dir):
+    m = _manifests(spark, sf_dir)
+    files = m.select("book_id", F.explode(F.when(F.col("pages") % 2 == 0, F.array(F.lit("book.json"), F.lit("book_ru.docx"))).otherwise(F.array(F.lit("book_ru.docx")))).alias("name"))
+    return lib.book_info(m.withColumn("metadata", F.col("metadata").withField("pages", F.col("pages"))), files)
+
+
+@query("""SELECT book_id, id, page, type, text AS raw, translated_text AS translated, '' AS tokens, CASE WHEN "order" % 3 > 0 THEN x0::VARCHAR || ',' || y0::VARCHAR END AS corners FROM blocks""")
+def api_block_view(spark, sf_dir):
+    """Blocks as the interface shows them; every third has no box."""
+    rows = blocks(spark, sf_dir).withColumn("bbox", F.when(F.col("order") % 3 > 0, F.col("bbox")))
+    out = lib.block_view(b.blocks_layer(rows))
+    return out.select("book_id", "id", "page", "type", "raw", "translated", F.array_join("protected_tokens", ",").alias("tokens"), F.when(F.col("bbox").isNotNull(), F.array_join(F.slice("bbox", 1, 2), ",")).alias("corners"))
+
+
+@query("""SELECT book_id, page, n, style, level, text FROM (SELECT book_id, page, (row_number() OVER (PARTITION BY book_id, page ORDER BY "order"))::INTEGER AS n, 'paragraph' AS style, NULL::INTEGER AS level, CASE WHEN translated_text <> '' THEN translated_text ELSE text END AS text FROM blocks UNION ALL SELECT DISTINCT book_id, page, 0, 'heading', 2, 'Page ' || page FROM blocks)""")
+def simple_docx(spark, sf_dir):
+    return lay.simple_docx_plan(blocks(spark, sf_dir).withColumn("normalized_text", F.lit("")))
+
+
 @query("SELECT book_id, page, count(*)::INTEGER AS blocks FROM blocks GROUP BY ALL")
 def api_get_pages(spark, sf_dir):
     rows = blocks(spark, sf_dir)

@@ -12,7 +12,7 @@ from ..functions.text import book_id, strip
 
 MANIFEST = "book_id string, source_pdf string, library_pdf string, created_at string, pages int, metadata struct<title:string,author:string,source_path:string,pages:int>, exports map<string,string>"
 PAGES_LAYER = "book_id string, pages array<struct<number:int,width:double,height:double,blocks:array<string>>>"
-BLOCKS_LAYER = "book_id string, blocks array<struct<id:string,page_number:int,type:string,raw_text:string,normalized_text:string,translated_text:string>>"
+BLOCKS_LAYER = "book_id string, blocks array<struct<id:string,page_number:int,type:string,raw_text:string,normalized_text:string,translated_text:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>,metadata:struct<protected_tokens:array<string>>>>"
 CACHE = "src_hash string, model string, translated string, timestamp string"
 BOOK = "file string, pages array<struct<page:int,source:string,blocks:array<struct<bbox:array<double>,text:string>>>>"
 

@@ -121,3 +121,29 @@ def test_adapters_and_config(spark):
         adapters.adapter("openai:x")
     config = read_config("default_profile: full\nprofiles:\n  full:\n    backend: nllb  # model\n    batch: 8\n")
     assert adapters.profile(config, "dev")["batch"] == 8 and adapters.profile(None, None)["name"] == "fast" and read_config("- x") == {}
+
+
+def test_models_are_loaded_once_and_stubs_raise(spark):
+    make = adapters.python_adapter(lambda model, x: f"{model}:{x}", load=lambda name: name.upper())
+    assert values(spark, ["a", "b"], make("m")(F.col("x"))) == ["M:a", "M:b"]
+    echo = adapters.EchoModel()
+    assert values(spark, ["a"], echo.qa(F.col("x"), F.col("x"))["semantic_score"]) == [1.0]
+    assert values(spark, ["a"], echo.analyze(F.col("x"))) == ["a"]
+    for call in (lambda: adapters.TextModel().translate(F.col("x")), lambda: adapters.TextModel().analyze(F.col("x")), lambda: adapters.TextModel().qa(F.col("x"), F.col("x")), lambda: echo.ocr(F.col("x"))):
+        with pytest.raises(NotImplementedError):
+            call()
+
+
+def test_chunks_keep_texts_that_fit(spark):
+    given = ["One.  Two.", "", None, "a" * 800, "x. " + "b" * 349 + ". c."]
+    got = values(spark, given, s.chunk_sentences("x"))
+    assert got == [["One.  Two."], [""], [""], ["a" * 350, "a" * 350, "a" * 100], ["x.", "b" * 349 + ".", "c."]]
+
+
+def test_list_items_keep_control_characters(spark):
+    assert values(spark, ["- a\x01b", "3) x", "plain"], k.list_text_v1("x")) == ["a\x01b", "x", None]
+
+
+def test_editor_pass_mends_both_misreadings(spark):
+    text = "НТакупунктура NТакупунктура NТакупунктуры " + "слово " * 40
+    assert values(spark, [text], p.editor_pass("x")) == ["Акупунктура Акупунктура N Такупунктуры " + "слово " * 40]

@@ -86,6 +86,42 @@ def test_contract_and_gate(spark):
     assert out["report"].first()["status"] == "ok" and out["paragraphs"].first()["text"] == "A fine text."
 
 
+def test_passes_leave_their_stamps(spark):
+    texts = ["short", "a" * 250, "slow" * 60 + " meridiansвсе", "word , " * 80, None]
+    rows = frame(spark, [(1, i, "", x, None, None) for i, x in enumerate(texts)]).withColumn("metadata", F.create_map(F.lit("k"), F.lit("v")))
+    got = {r["order"]: (r["translated_text"], r["metadata"]) for r in b.run_passes(rows).collect()}
+    assert got[0] == ("short", {"k": "v"}) and got[1] == ("a" * 250, {"k": "v"}) and got[4] == (None, {"k": "v"})
+    assert got[2][1] == {"k": "v", "editor_pass": "heuristic_v1", "term_pass": "v1"} and "меридианы все" in got[2][0]
+    assert got[3][1] == {"k": "v", "quality_pass": "heuristic_v1"} and "word," in got[3][0]
+    assert {r["order"]: r["metadata"] for r in b.run_passes(rows.drop("metadata")).collect()}[0] is None
+
+
+def test_report_is_written_before_the_gate(spark, tmp_path):
+    with pytest.raises(book.QualityError):
+        book.run_book(frame(spark, [(1, 0, "A" * 30, None, None, None)]), adapter=lambda c: F.lit(""), report_path=f"{tmp_path}/r")
+    assert spark.read.json(f"{tmp_path}/r/qa_report").first()["status"] == "error"
+    assert spark.read.json(f"{tmp_path}/r/qa_issues").first()["type"] == "empty_translation"
+
+
+def test_document_input_errors(spark):
+    rows = spark.createDataFrame([("b", "paragraph", " \n")], "book_id string, type string, text string")
+    for bad, error in ((rows, ValueError), (rows.limit(0), ValueError), (rows.drop("type"), TypeError)):
+        with pytest.raises(error):
+            lay.require_paragraphs(bad)
+    assert lay.require_paragraphs(rows.unionByName(rows.withColumn("text", F.lit("x")))).count() == 2
+
+
+def test_book_info_and_export_path(spark):
+    m = spark.createDataFrame([("b1", "/in/x.pdf", None), ("b2", None, ("T", "", "", 3))], "book_id string, source_pdf string, metadata struct<title:string,author:string,source_path:string,pages:int>")
+    files = spark.createDataFrame([("b1", "book.json"), ("b1", "xbook_ru.txt")], "book_id string, name string")
+    got = {r["book_id"]: tuple(r)[1:] for r in lib.book_info(m, files).collect()}
+    assert got == {"b1": ("(unknown)", "x.pdf", "?", True, False, False), "b2": ("T", "?", "3", False, False, False)}
+    assert lib.export_path(m, files, "b1", "json") == "b1/book.json"
+    for call in (("b1", "txt"), ("b3", "json"), ("b1", "pdf")):
+        with pytest.raises(ValueError):
+            lib.export_path(m, files, *call)
+
+
 def test_translate_and_cache(spark, tmp_path):
     rows = frame(spark, [(1, 0, "one", None, None, None), (1, 1, "two", None, None, None), (1, 2, "one", None, None, None)]).drop("translated_text")
     empty = spark.createDataFrame([], "book_id string, block_id string, src_hash string, model string, translated string, timestamp string")
@@ -102,14 +138,19 @@ def test_library_round_trip(spark, tmp_path):
     (at / "layers").mkdir(parents=True)
     (at / "manifest.json").write_text(json.dumps({"book_id": "b1", "created_at": "x", "pages": None, "metadata": {"title": "My Title"}}))
     (at / "layers/pages.json").write_text(json.dumps({"book_id": "b1", "pages": [{"number": 1, "width": 1.0, "height": 2.0, "blocks": ["p1_b1", "gone", "p1_b0"]}]}))
-    (at / "layers/blocks_index.json").write_text(json.dumps({"book_id": "b1", "blocks": [{"id": "p1_b0", "page_number": 1, "type": "text", "raw_text": "a"}, {"id": "p1_b1", "page_number": 1, "type": "text", "raw_text": "b"}]}))
+    (at / "layers/blocks_index.json").write_text(json.dumps({"book_id": "b1", "blocks": [{"id": "p1_b0", "page_number": 1, "type": "text", "raw_text": "a", "bbox": {"x0": 1, "y0": 2, "x1": 3, "y1": 4}, "metadata": {"protected_tokens": ["T"]}}, {"id": "p1_b1", "page_number": 1, "type": "text", "raw_text": "b"}]}))
     library = str(tmp_path / "library")
     books = lib.list_books(readers.manifests(spark, library))
     assert lib.search_books(books, query="my t", min_pages=5).count() == 1 and lib.search_books(books, author="x").count() == 0
     pages, blocks = readers.pages_layer(spark, library), readers.blocks_layer(spark, library)
     assert [r["raw_text"] for r in lib.get_page(pages, blocks, "b1", 1).collect()] == ["b", "a"]
-    assert lib.get_block(blocks, "b1", "p1_b0").first()["raw_text"] == "a"
-    for call in (lambda: lib.get_page(pages, blocks, "b1", 9), lambda: lib.get_block(blocks, "b1", "zz")):
+    one = lib.get_block(blocks, "b1", "p1_b0").first()
+    assert (one["raw"], one["bbox"], one["protected_tokens"]) == ("a", [1.0, 2.0, 3.0, 4.0], ["T"])
+    assert lib.get_block(blocks, "b1", "p1_b1").first()["bbox"] is None
+    shown = lib.book_structure(readers.manifests(spark, library), blocks).orderBy("id").collect()
+    assert [(r["id"], r["metadata"]["title"], r["block_page"], r["protected_tokens"]) for r in shown] == [("p1_b0", "My Title", 1, ["T"]), ("p1_b1", "My Title", 1, [])]
+    assert lib.get_book(readers.manifests(spark, library), "b1").first()["book_id"] == "b1"
+    for call in (lambda: lib.get_page(pages, blocks, "b1", 9), lambda: lib.get_block(blocks, "b1", "zz"), lambda: lib.get_book(readers.manifests(spark, library), "zz")):
         with pytest.raises(ValueError):
             call()
 

@@ -116,18 +116,19 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, l
     border[1:] = keys[1:] != keys[:-1]
     del keys
     pair = (text[:-1].astype(np.uint16) << np.uint16(8)) | text[1:]
-    pos, group, border = at[order].astype(np.int32), np.cumsum(border, dtype=np.int32), None
-    pos, group, number = _shared(pos, group, order.astype(np.int32))
+    kind = np.int32 if len(text) < 1 << 31 else np.int64
+    pos, group, border = at[order].astype(kind), np.cumsum(border, dtype=kind), None
+    pos, group, number = _shared(pos, group, order.astype(kind))
     for _ in range((length - depth) // 2):
         if not len(pos):
             break
-        pos = pos - np.int32(2)
+        pos = pos - kind(2)
         symbol = pair[pos]
         by = np.argsort(symbol, kind="stable")
         pos, group, number, symbol = pos[by], group[by], number[by], symbol[by]
         new = np.ones(len(pos), bool)
         new[1:] = (group[1:] != group[:-1]) | (symbol[1:] != symbol[:-1])
-        pos, group, number = _shared(pos, np.cumsum(new, dtype=np.int32), number)
+        pos, group, number = _shared(pos, np.cumsum(new, dtype=kind), number)
     flags[number] = True
     return flags
 

@@ -107,6 +107,27 @@ def test_suffix_tells_thue_morse_bytes_apart(spark):
     assert sorted(map(tuple, rows), key=KEY) == sorted(plain_bytes(docs, 400), key=KEY)
 
 
+def test_suffix_removes_planted_passages_from_400_bytes_on(spark):
+    """Passages of over 50 words, shorter and longer than the contract's 400 bytes, each in ten of two hundred documents."""
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    text = lambda n: " ".join(word(int(k)) for k in rng.integers(2, 9, n))
+    fit = lambda n: (text(n) + " " + word(n))[:n]
+    passages = [fit(399), fit(400), " ".join(word(5) for _ in range(55)), " ".join(word(6) for _ in range(90))]
+    assert all(len(p.split()) > 50 for p in passages) and [len(p) for p in passages] == [399, 400, 329, 629]
+    docs, planted = [], {}
+    for i in range(200):
+        body = [f"{i} {text(60)} ", f" {text(80)} {i}"]
+        if i % 20 < 8:
+            planted[i] = passages[i % 4]
+            body.insert(1, passages[i % 4])
+        docs.append((i, "".join(body)))
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix.dedup_bytes(frame(spark, docs), chunk_bytes=30_000).collect()}
+    for i, _ in docs:
+        size = len(planted.get(i, ""))
+        assert got[i][0] >= size and got[i][1] == 1 if size >= 400 else got[i] == (0, 0)
+
+
 def test_word_hashes_follow_the_words():
     rng = np.random.default_rng(3)
     words = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in [*range(1, 40), 8, 8, 9, 1023, 1024, 1025, 3000] for _ in range(6)]

@@ -5,6 +5,10 @@ questions each chunk sends each shard one row with all it asks there (distinct k
 shard merges the rows of all chunks and sends each chunk one row back, its answers in the order of its questions. What
 moves grows with the distinct keys of the chunks, never with the number of pairs, and a key that occurs everywhere
 costs one entry for each chunk.
+
+Chunks and shards both grow with the corpus, and so would a row for each pair of them with its square. Beyond ROWS such
+rows a round takes two hops each way: a chunk sends a row to each of about sqrt(shards) groups of shards; there the rows
+of a batch of about as many chunks are dealt out again, one row to each shard. The answers are the same.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, id_text, lean, materialize
 
-CHUNK_BYTES, TASKS = 8 << 20, 8192
+CHUNK_BYTES, TASKS, ROWS = 8 << 20, 8192, 1 << 22
 
 
 def shrink(data: bytes, level: int = 1) -> bytes:
@@ -150,6 +154,59 @@ class Answers(list):
     tally = 0
 
 
+def round_of(chunks: DataFrame, questions, merge, bits: int, n_chunks: int, most_rows: int = ROWS) -> DataFrame:
+    """The answers of 2^bits shards to all chunks, in one hop or in two: see the module's head."""
+    if n_chunks << bits <= most_rows or bits < 2:
+        return answer(ask(chunks, questions), merge, 1 << bits)
+    low = bits // 2
+    groups, batches = 1 << (bits - low), max(1, -(-n_chunks >> low))
+
+    def out(names: dict, rows: list) -> pa.Table:
+        columns = list(zip(*rows)) if rows else [()] * len(names)
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip(names.items(), columns)})
+
+    def split(key, table):
+        """The rows of a batch of chunks for a group of shards, as one row for each shard."""
+        by: dict[int, list] = {}
+        for chunk, payload in zip(table.column("chunk").to_pylist(), table.column("payload").to_pylist()):
+            for shard, part in pickle.loads(payload):
+                by.setdefault(shard, []).append((chunk, part))
+        return out({"shard": pa.int32(), "batch": pa.int64(), "payload": pa.binary()}, [(s, key[1].as_py(), pickle.dumps(v, 5)) for s, v in sorted(by.items())])
+
+    def decide(key, table):
+        """A shard's answers, as one row for each batch."""
+        parts = sorted(((chunk, part, batch) for batch, payload in zip(table.column("batch").to_pylist(), table.column("payload").to_pylist()) for chunk, part in pickle.loads(payload)), key=lambda x: x[0])
+        made = merge([x[0] for x in parts], [x[1] for x in parts])
+        by: dict[int, list] = {}
+        for (chunk, _, batch), got in zip(parts, made):
+            if got is not None:
+                by.setdefault(batch, []).append((chunk, got))
+        shard, tally = key[0].as_py(), [getattr(made, "tally", 0)] + [0] * len(by)
+        return out({"group": pa.int32(), "batch": pa.int64(), "shard": pa.int32(), "payload": pa.binary(), "tally": pa.int64()}, [(shard >> low, b, shard, pickle.dumps(v, 5), t) for (b, v), t in zip(sorted(by.items()), tally)])
+
+    def back(key, table):
+        """The answers of a group of shards, as one row for each chunk of a batch; shard -1 - group marks such a row."""
+        by: dict[int, list] = {}
+        for shard, payload in zip(table.column("shard").to_pylist(), table.column("payload").to_pylist()):
+            for chunk, part in pickle.loads(payload):
+                by.setdefault(chunk, []).append((shard, part))
+        tally = [sum(table.column("tally").to_pylist())] + [0] * len(by)
+        return out({"chunk": pa.int64(), "shard": pa.int32(), "payload": pa.binary(), "tally": pa.int64()}, [(c, -1 - key[0].as_py(), pickle.dumps(v, 5), t) for (c, v), t in zip(sorted(by.items()), tally)])
+
+    def grouped(row):
+        by: dict[int, list] = {}
+        for shard, payload in questions(row):
+            by.setdefault(shard >> low, []).append((shard, payload))
+        for group, parts in by.items():
+            yield group, pickle.dumps(parts, 5)
+
+    asked = ask(chunks, grouped).select(F.col("shard").alias("group"), F.pmod(F.xxhash64("chunk"), F.lit(batches)).alias("batch"), "chunk", "payload")
+    hop, tasks = ("group", "batch"), min(groups * batches, TASKS)
+    dealt = asked.repartition(tasks, *hop).groupBy(*hop).applyInArrow(split, "shard int, batch long, payload binary")
+    decided = dealt.repartition(min(1 << bits, TASKS), "shard").groupBy("shard").applyInArrow(decide, "group int, batch long, shard int, payload binary, tally long")
+    return materialize(decided.repartition(tasks, *hop).groupBy(*hop).applyInArrow(back, ANSWER))
+
+
 def told(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
     """The chunks with all answers they got: column told, an array of (round, shard, payload)."""
     rows = [a.select("chunk", F.struct(F.lit(i).alias("round"), "shard", "payload").alias("x")) for i, a in enumerate(answers)]
@@ -164,5 +221,5 @@ def heard(row: dict, n: int) -> list[dict[int, bytes]]:
     """The payloads of each of n rounds by shard."""
     out: list[dict[int, bytes]] = [{} for _ in range(n)]
     for x in row["told"] or []:
-        out[x["round"]][x["shard"]] = x["payload"]
+        out[x["round"]].update(pickle.loads(x["payload"]) if x["shard"] < 0 else [(x["shard"], x["payload"])])
     return out

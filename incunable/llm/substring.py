@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import answer, ask, by_shard, heard, pack, shard_bits, squeeze, squeeze_sorted, told, unpack, unsqueeze, unsqueeze_sorted
+from .chunks import ROWS, by_shard, heard, pack, round_of, shard_bits, squeeze, squeeze_sorted, told, unpack, unsqueeze, unsqueeze_sorted
 from .common import SPACES, documents, gram_hashes, spans, within, word_hashes
 
 WINDOW, PER_SHARD, CELL_BITS = 20, 1 << 20, 25
@@ -103,7 +103,7 @@ def _merge_digests(chunks, payloads):
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, per_shard: int = PER_SHARD, cell_bits: int = CELL_BITS, chunk_bytes: int | None = None) -> DataFrame:
+def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, per_shard: int = PER_SHARD, cell_bits: int = CELL_BITS, chunk_bytes: int | None = None, most_rows: int = ROWS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept): each document without the words of windows that occur earlier.
 
     Earlier is a smaller doc_id, or the same one and an earlier start (rows that repeat a doc_id count in the order in
@@ -111,7 +111,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     single spaces (null where `texts` is false). Null and empty texts have no words. An empty table gives no rows.
     """
     chunks = pack(docs, **({"chunk_bytes": chunk_bytes} if chunk_bytes else {}), id_col=id_col, text_col=text_col)
-    size = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    size, n_chunks = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
     bits = shard_bits(size // 6, per_shard)  # sizes the sketch only
 
     def cells(row):
@@ -119,7 +119,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         for shard, a, b in _split(found, bits, cell_bits):
             yield shard, squeeze_sorted((found[a:b] & np.uint64((1 << cell_bits) - 1)).astype(np.uint32))
 
-    counted = answer(ask(chunks.select("chunk", "blob"), cells), _merge_cells(cell_bits), 1 << bits)
+    counted = round_of(chunks.select("chunk", "blob"), cells, _merge_cells(cell_bits), bits, n_chunks, most_rows)
 
     def digests(row):
         ids, known, _, _, _, first, at, pairs, _, leaders = _parts(row, window, bits, cell_bits, heard(row, 1)[0])
@@ -131,7 +131,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             a, b, o = squeeze_sorted(np.ascontiguousarray(pairs["a"][s])), squeeze(np.ascontiguousarray(pairs["b"][s])), squeeze(np.ascontiguousarray(owner[s]))
             yield int(shard), len(a).to_bytes(4, "little") + len(b).to_bytes(4, "little") + a + b + o
 
-    owners = answer(ask(told(chunks.select("chunk", "blob"), counted), digests), _merge_digests, 1 << bits)
+    owners = round_of(told(chunks.select("chunk", "blob"), counted), digests, _merge_digests, bits, n_chunks, most_rows)
 
     def remove(batches):
         for batch in batches:

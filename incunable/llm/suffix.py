@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .chunks import answer, ask, by_shard, grow, heard, pack, shard_bits, shrink, squeeze, squeeze_sorted, told, unpack, unpack_carry, unsqueeze, unsqueeze_sorted
+from .chunks import ROWS, by_shard, grow, heard, pack, round_of, shard_bits, shrink, squeeze, squeeze_sorted, told, unpack, unpack_carry, unsqueeze, unsqueeze_sorted
 from .common import _BASE, _VALUES, _inverse, carried, documents, mix, powers
 
 LENGTH, GRAM, BLOCK, DEPTH, SUB_SHARD, PER_SHARD, BYTES_PER_SHARD, AT_ONCE = 400, 32, 128, 32, 1 << 17, 1 << 18, 4 << 20, 1 << 20
@@ -145,7 +145,7 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, chunk_bytes: int | None = None, bytes_per_shard: int = BYTES_PER_SHARD, carry: tuple = (), characters: bool = False) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, chunk_bytes: int | None = None, bytes_per_shard: int = BYTES_PER_SHARD, carry: tuple = (), characters: bool = False, most_rows: int = ROWS) -> DataFrame:
     """One row for each document: n_bytes, n_removed, n_spans, kept_sha256, kept, spans.
 
     A byte is removed if a string of `length` bytes that covers it also starts anywhere else, in the same document or in
@@ -159,7 +159,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
     if length < block + gram or gram < 1:
         raise ValueError("length must be at least block + gram")
     chunks = pack(docs, **({"chunk_bytes": chunk_bytes} if chunk_bytes else {}), id_col=id_col, text_col=text_col, carry=carry)
-    size = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    size, n_chunks = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
     bits, byte_bits = shard_bits(size // 80, PER_SHARD), shard_bits(size, bytes_per_shard)
 
     def found(row):
@@ -213,7 +213,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
             out[a:b] = np.unpackbits(np.frombuffer(data, np.uint8), count=2 * (b - a)).reshape(-1, 2)
         return out[:, 0], out[:, 1]
 
-    first = answer(ask(chunks.select("chunk", "blob"), questions), merge, 1 << bits)
+    first = round_of(chunks.select("chunk", "blob"), questions, merge, bits, n_chunks, most_rows)
 
     def send(row):
         _, _, _, raw, lo, hi, _, one, keys, _ = found(row)
@@ -247,7 +247,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
         rows, edges = np.packbits(table, axis=1), np.cumsum([0] + [len(c) for c in counts])
         return [shrink(rows[edges[i] : edges[i + 1]][want[edges[i] : edges[i + 1]]].tobytes()) for i in range(len(counts))]
 
-    second = answer(ask(told(chunks.select("chunk", "blob"), first), send), compare, 1 << byte_bits)
+    second = round_of(told(chunks.select("chunk", "blob"), first), send, compare, byte_bits, n_chunks, most_rows)
 
     carry_type = to_arrow_type(docs.select(F.struct(*carry)).schema[0].dataType) if carry else None
 

@@ -38,10 +38,10 @@ def plain_bytes(docs, length):
         yield i, len(t), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()
 
 
-@pytest.mark.parametrize("length", [400, 170])
-def test_suffix_matches_plain(spark, length):
+@pytest.mark.parametrize(("length", "most_rows"), [(400, 1 << 22), (170, 1 << 22), (400, 0)])
+def test_suffix_matches_plain(spark, length, most_rows):
     docs = shared_texts()
-    got = suffix.dedup_bytes(frame(spark, docs), length, chunk_bytes=20_000, bytes_per_shard=50_000)
+    got = suffix.dedup_bytes(frame(spark, docs), length, chunk_bytes=20_000, bytes_per_shard=50_000 if most_rows else 8_000, most_rows=most_rows)
     rows = got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, rows), key=KEY) == sorted(plain_bytes(docs, length), key=KEY)
     assert suffix.dedup_bytes(frame(spark, []), length).count() == 0
@@ -76,11 +76,11 @@ def plain_windows(docs, k):
     return list(out.values())
 
 
-@pytest.mark.parametrize("chunk", [10_000, None])
-def test_substring_matches_plain(spark, chunk):
+@pytest.mark.parametrize(("chunk", "most_rows"), [(10_000, 1 << 22), (None, 1 << 22), (10_000, 0)])
+def test_substring_matches_plain(spark, chunk, most_rows):
     docs = shared_texts()
     unique = [d for n, d in enumerate(docs) if d[0] is None or d[0] not in {x[0] for x in docs[:n]}]
-    got = substring.dedup_windows(frame(spark, unique).coalesce(1), chunk_bytes=chunk, per_shard=20_000, cell_bits=18)
+    got = substring.dedup_windows(frame(spark, unique).coalesce(1), chunk_bytes=chunk, per_shard=20_000 if most_rows else 4_000, cell_bits=18, most_rows=most_rows)
     rows = got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, rows), key=KEY) == sorted(plain_windows(unique, 20), key=KEY)
     assert substring.dedup_windows(frame(spark, [])).count() == 0
@@ -120,12 +120,13 @@ def test_suffix_removes_planted_passages_from_400_bytes_on(spark):
         body = [f"{i} {text(60)} ", f" {text(80)} {i}"]
         if i % 20 < 8:
             planted[i] = passages[i % 4]
-            body.insert(1, passages[i % 4])
+            mark = chr(65 + i // 20 * 2 + i % 20 // 4)  # another in each document that has the passage
+            body.insert(1, mark + passages[i % 4] + mark)
         docs.append((i, "".join(body)))
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix.dedup_bytes(frame(spark, docs), chunk_bytes=30_000).collect()}
     for i, _ in docs:
         size = len(planted.get(i, ""))
-        assert got[i][0] >= size and got[i][1] == 1 if size >= 400 else got[i] == (0, 0)
+        assert got[i] == ((size, 1) if size >= 400 else (0, 0))
 
 
 def test_word_hashes_follow_the_words():
@@ -197,6 +198,15 @@ def test_lm_beats_the_base_where_all_words_are_known(spark):
     assert got["n"] >= 5 and got["score"] > got["base"]
 
 
+def test_lm_word_counts_in_two_hops(spark):
+    docs = frame(spark, [*documents().items(), *hard()]).repartition(9).cache()
+    one, two = (lm.Corpus(docs, chunk_bytes=30_000, per_shard=2_000, most_rows=n) for n in (1 << 22, 0))
+    assert one.n_chunks > 6 and [c.counted()[1:] for c in (one, two)] == [one.counted()[1:]] * 2
+    m = lm.untrained(np.bincount([5, 6], minlength=one.vocab), np.array([6]), np.array([1]))
+    rows = [sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_known"], round(r["base_score"], 6)) for r in c.scores(m).collect()) for c in (one, two)]
+    assert rows[0] == rows[1]
+
+
 COMMON, RARE = "the cat sat on the mat and the dog ran off", "zebra quartz violin jigsaw oxygen puzzle"
 
 

@@ -263,9 +263,10 @@ def pages_layer(spark, sf_dir):
     return b.pages_layer(rows, pages).select("book_id", "number", F.array_join("blocks", ",").alias("blocks"))
 
 
-@query("SELECT book_id, id, page AS page_number, type, text AS raw_text, '' AS normalized_text, translated_text FROM blocks")
+@query("""SELECT book_id, id, page AS page_number, type, text AS raw_text, '' AS normalized_text, translated_text, x0, y0, CASE WHEN "order" % 2 = 0 THEN 'T' || "order" END AS tokens FROM blocks""")
 def blocks_layer(spark, sf_dir):
-    return b.blocks_layer(blocks(spark, sf_dir))
+    rows = blocks(spark, sf_dir).withColumn("protected_tokens", F.when(F.col("order") % 2 == 0, F.array(F.concat(F.lit("T"), "order"))))
+    return b.blocks_layer(rows).select("*", "bbox.x0", "bbox.y0", F.array_join("metadata.protected_tokens", ",").alias("tokens")).drop("bbox", "metadata")
 
 
 @query("""SELECT book_id, count(DISTINCT page) AS n_pages, count(*) AS n_blocks, string_agg(id, ',' ORDER BY page, "order") AS ids FROM blocks GROUP BY book_id""")

@@ -76,6 +76,8 @@ def test_preserve_tokens(spark):
 
 
 def plain_chunks(text, most):
+    if len(text.strip()) <= most:  # a text that fits is one chunk as it stands, an empty one too
+        return [text.strip()]
     import re
 
     out, now = [], ""

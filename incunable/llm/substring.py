@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import ROWS, by_shard, heard, pack, round_of, shard_bits, squeeze, squeeze_sorted, told, unpack, unsqueeze, unsqueeze_sorted
-from .common import SPACES, documents, gram_hashes, spans, within, word_hashes
+from .common import SPACES, documents, gram_hashes, lean, spans, within, word_hashes
 
 WINDOW, PER_SHARD, CELL_BITS = 20, 1 << 20, 25
 
@@ -157,6 +157,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                     out.append((int(ids[d]) if known[d] else None, b - a, int(gone[a:b].sum()), hashlib.sha256(left).hexdigest(), left.decode() if texts else None))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                lean()
 
     return told(chunks.select("chunk", "blob"), counted, owners).mapInArrow(remove, SCHEMA)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .chunks import ROWS, by_shard, grow, heard, pack, round_of, shard_bits, shrink, squeeze, squeeze_sorted, told, unpack, unpack_carry, unsqueeze, unsqueeze_sorted
-from .common import _BASE, _VALUES, _inverse, carried, documents, mix, powers
+from .common import _BASE, _VALUES, _inverse, carried, documents, lean, mix, powers
 
 LENGTH, GRAM, BLOCK, DEPTH, SUB_SHARD, PER_SHARD, BYTES_PER_SHARD, AT_ONCE = 400, 32, 128, 32, 1 << 17, 1 << 18, 4 << 20, 1 << 20
 PAIR = np.dtype([("a", np.uint64), ("b", np.uint64)])
@@ -291,6 +291,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), _SPANS)
                 more = [pa.array(unpack_carry(row["blob"]), carry_type)] if carry else []
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] + more, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", *["carry"] * bool(carry)])
+                lean()
 
     return told(chunks.select("chunk", "blob"), first, second).mapInArrow(remove, carried(docs, SCHEMA, carry))
 

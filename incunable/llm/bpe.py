@@ -76,9 +76,10 @@ def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Kept:
-    """Ids of strings met before, by two hashes; beyond KEPT strings it begins anew."""
+    """Ids of strings met before, by two hashes; beyond `most` strings it begins anew."""
 
-    def __init__(self):
+    def __init__(self, most: int = KEPT):
+        self.most = most
         self.clear()
 
     def clear(self):
@@ -92,7 +93,7 @@ class Kept:
         return at
 
     def add(self, one: np.ndarray, two: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
-        if len(self.one) > KEPT:
+        if len(self.one) > self.most:
             self.clear()
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.one, self.two, self.sizes, self.flat = (np.concatenate(x) for x in ((self.one, one), (self.two, two), (self.sizes, sizes), (self.flat, flat)))

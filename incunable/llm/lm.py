@@ -9,8 +9,8 @@ that a public byte-level tokenizer gives it behind a space; the end has an id of
 so that the attention learns what the ids further back add to the last one. P(id | prev) is counted over every id of
 every training text: pairs of ids, the `pairs` most frequent of them exactly, the others by the id alone. Classes and
 embeddings come from the same counts (principal components and weighted k-means). One head of attention with relative
-position biases, a skip connection and a softsign layer is trained by Adam on windows of 2 * STRIDE ids: each training
-text gives one of `every` of its windows, one at least. In each of ROUNDS rounds the tasks go on from the same
+position biases, a skip connection and a softsign layer is trained by Adam on windows of 2 * STRIDE ids: those of all
+training texts, so that every id of every one is predicted. In each of ROUNDS rounds the tasks go on from the same
 parameters over their share of the windows, and what they changed is averaged as whole numbers, so that no order of
 adding matters. Scoring cuts each text into windows of 2 * STRIDE ids that overlap by half and scores the ids of each
 window's second half (all in the first), so every id is scored once, with batched, masked attention.
@@ -30,7 +30,7 @@ from .bpe import Kept, defaults, expand, read_ranks, resolve
 from .chunks import ROWS, Answers, by_shard, grow, heard, pack, round_of, shard_bits, shrink, squeeze, squeeze_sorted, told, unpack, unsqueeze, unsqueeze_sorted
 from .common import LOWER, SPACES, documents, lean, materialize, mix, spans
 
-STRIDE, WIDTH, CLASSES, KAPPA, PAIRS, EVERY, TOP = 16, 16, 32, 8.0, 1 << 20, 8, 400
+STRIDE, WIDTH, CLASSES, KAPPA, PAIRS, TOP = 16, 16, 32, 8.0, 1 << 20, 400
 STEPS, BATCH, RATE, ROUNDS, UNIT, PER_SHARD = 1500, 128, 4e-3, 4, 1 << 20, 1 << 19
 MOD, HELD, WORDS, CHUNK = 7, 2, 1 << 19, 4 << 20
 SPAN = 2 * STRIDE
@@ -113,18 +113,27 @@ def pair_counts(ids: np.ndarray, first: np.ndarray, end_id: int) -> tuple[np.nda
 
 
 def windows_of(ids: np.ndarray, first: np.ndarray, phases: np.ndarray, every: int, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """One of `every` windows of SPAN ids from each text, one at least: rows of the id before and the ids, and how many are real."""
+    """One of `every` windows of SPAN ids from each text, one at least: rows of the id before and the ids, and how many are real. At 1, all."""
     n = -(-np.diff(first) // SPAN)
     phase = phases % np.minimum(every, np.maximum(n, 1))
     count = np.where(n > 0, (n - phase + every - 1) // every, 0)
     text = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     at = first[:-1][text] + (phase[text] + k * every) * SPAN
-    rows = ids[np.clip(at[:, None] + np.arange(-1, SPAN), 0, max(0, len(ids) - 1))] if len(at) else np.zeros((0, SPAN + 1), ids.dtype)
+    padded = np.concatenate([ids[:1], ids, np.zeros(SPAN, ids.dtype)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, SPAN + 1)[at] if len(at) else np.zeros((0, SPAN + 1), ids.dtype)
     rows[at == first[:-1][text], 0] = end_id
     return rows, np.minimum(first[1:][text] - at, SPAN)
 
 
+def training_windows(blob: bytes, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the training texts of a chunk's ids."""
+    ids, lengths, trains = pickle.loads(blob)
+    ids, lengths = unsqueeze(ids), unsqueeze(lengths)
+    own = np.append(0, np.cumsum(lengths[trains]))
+    return windows_of(ids[np.repeat(trains, lengths)], own, np.zeros(len(own) - 1, np.int64), 1, end_id)
+
+
 _REL = np.arange(SPAN)[:, None] - np.arange(SPAN)[None, :]
 _SCORED = _REL[STRIDE:]
 
@@ -205,58 +214,82 @@ def untrained(counts: np.ndarray, keys: np.ndarray, times: np.ndarray, classes:
 LEARNT = ("w", "wo", "bo", "rel")
 
 
+def _product(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """x.T @ y over all places of windows, four windows at a time: tall products of a few columns are slow in one piece."""
+    by = 4 if size % 4 == 0 else 1
+    return np.matmul(x.reshape(size // by, by * SPAN, -1).transpose(0, 2, 1), y.reshape(size // by, by * SPAN, -1)).sum(axis=0)
+
+
 def learn(m: dict, rows: np.ndarray, real: np.ndarray, rates: tuple = (RATE, RATE / 10), batch: int = BATCH) -> None:
     """Train the attention in place on windows, in the order given, at rates that fall from the first to the second."""
-    d, klass = m["embed"].shape[1], m["class"]
-    state = {n: (np.zeros_like(m[n]), np.zeros_like(m[n])) for n in LEARNT}
-    steps, causal = -(-len(rows) // batch), _REL >= 0
+    d, klass, c = m["embed"].shape[1], m["class"], m["wo"].shape[1]
+    one, two = np.zeros((2, sum(m[n].size for n in LEARNT)), np.float32)
+    steps, size = -(-len(rows) // batch), 0
+    causal, apart, ones = _REL >= 0, np.maximum(_REL, 0), np.ones(c, np.float32)
     for step in range(1, steps + 1):
         part = rows[(step - 1) * batch : step * batch].astype(np.int64)
-        live = np.arange(SPAN) < real[(step - 1) * batch : step * batch, None]
-        x, y = part[:, :-1], part[:, 1:]
-        e = m["embed"][x.ravel()]
-        every = (e @ m["w"]).reshape(len(part), SPAN, 4 * d)
-        q, k, v, skip = (every[:, :, i * d : (i + 1) * d] for i in range(4))
-        a = q @ k.transpose(0, 2, 1)
-        a += np.where(causal, m["rel"][np.maximum(_REL, 0)], -1e9).astype(np.float32)
-        a -= a.max(axis=2, keepdims=True)
+        if len(part) != size:  # the same memory for every batch, as in Scorer; a last column of ones gives sums and biases
+            size = len(part)
+            new = lambda *shape: np.ones((size, SPAN, *shape), np.float32)
+            e, every, back, v, dz, a, da, mixed, h, bend, p, after, dh = (new(x) for x in (d, 4 * d, 4 * d, d + 1, d + 1, SPAN, SPAN, d + 1, d + 1, d, c, c, d))
+            q, k, skip = every[:, :, :d], every[:, :, d : 2 * d], every[:, :, 3 * d :]
+            flat, p = h.reshape(-1, d + 1), p.reshape(-1, c)
+        live = (np.arange(SPAN) < real[(step - 1) * batch : step * batch, None]).ravel().astype(np.float32)
+        live /= max(1, live.sum())
+        x, y = part[:, :-1], part[:, 1:].ravel()
+        np.take(m["embed"], x, axis=0, out=e, mode="clip")
+        np.matmul(e.reshape(-1, d), m["w"], out=every.reshape(-1, 4 * d))
+        v[:, :, :d] = every[:, :, 2 * d : 3 * d]
+        np.matmul(q, k.transpose(0, 2, 1), out=a)
+        a += np.where(causal, m["rel"][apart], -1e9).astype(np.float32)
+        if a.max() > 60 or a.reshape(size, -1)[:, :: SPAN + 1].min() < -60:  # else no exponential overflows and no sum vanishes
+            a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        z = a @ v
-        z += skip
-        size = 1 + np.abs(z)
-        h = z / size
-        flat = h.reshape(-1, d)
-        p = flat @ m["wo"]
-        p += m["bo"]
-        p += m["class_after"][x.ravel()]
-        p -= p.max(axis=1, keepdims=True)
+        np.matmul(a, v, out=mixed)
+        total = mixed[:, :, d:]
+        mixed[:, :, :d] /= total
+        np.add(mixed[:, :, :d], skip, out=h[:, :, :d])
+        np.abs(h[:, :, :d], out=bend)
+        bend += 1
+        h[:, :, :d] /= bend
+        np.matmul(flat, np.concatenate([m["wo"], m["bo"][None]]), out=p)
+        np.take(m["class_after"], x, axis=0, out=after, mode="clip")
+        p += after.reshape(-1, c)
+        if np.abs(m["wo"]).sum(axis=0).max() + np.abs(m["bo"]).max() > 60:
+            p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), klass[y.ravel()]] -= 1
-        p *= (live.ravel() / max(1, live.sum())).astype(np.float32)[:, None]
-        g = {"wo": flat.T @ p, "bo": p.sum(axis=0)}
-        dz = (p @ m["wo"].T).reshape(h.shape)
-        dz /= size * size
-        da = dz @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        g["rel"] = np.bincount(np.maximum(_REL, 0).ravel(), (ds.sum(axis=0) * causal).ravel(), SPAN).astype(np.float32)
-        back = np.empty_like(every)
-        back[:, :, :d], back[:, :, d : 2 * d] = ds @ k, ds.transpose(0, 2, 1) @ q
-        back[:, :, 2 * d : 3 * d], back[:, :, 3 * d :] = a.transpose(0, 2, 1) @ dz, dz
-        g["w"] = e.T @ back.reshape(-1, 4 * d)
+        p *= (live / (p @ ones))[:, None]
+        p.ravel()[np.arange(0, p.size, c) + klass[y]] -= live
+        out = _product(flat, p, size)
+        np.matmul(p, m["wo"].T, out=dh.reshape(-1, d))
+        bend *= bend
+        dh /= bend
+        # of the weights a / total: a * (dz . v - dz . mixed), dz over total already
+        np.divide(dh, total, out=dz[:, :, :d])
+        np.einsum("ijk,ijk->ij", dz[:, :, :d], mixed[:, :, :d], out=dz[:, :, d])
+        np.negative(dz[:, :, d], out=dz[:, :, d])
+        np.matmul(dz, v.transpose(0, 2, 1), out=da)
+        da *= a
+        rel = np.bincount(apart.ravel(), (da.sum(axis=0) * causal).ravel(), SPAN)
+        np.matmul(da, k, out=back[:, :, :d])
+        np.matmul(da.transpose(0, 2, 1), q, out=back[:, :, d : 2 * d])
+        np.matmul(a.transpose(0, 2, 1), dz[:, :, :d], out=back[:, :, 2 * d : 3 * d])
+        back[:, :, 3 * d :] = dh
+        grad = np.concatenate([_product(e, back, size).ravel(), out.ravel(), rel], dtype=np.float32)  # in the order of LEARNT
         rate = rates[0] + (rates[1] - rates[0]) * step / steps
-        for n, grad in g.items():
-            one, two = state[n]
-            one *= 0.9
-            one += 0.1 * grad
-            two *= 0.99
-            two += 0.01 * grad * grad
-            m[n] -= rate / (1 - 0.9**step) * one / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)
+        one *= 0.9
+        one += 0.1 * grad
+        two *= 0.99
+        grad *= grad
+        two += 0.01 * grad
+        move, at = rate / (1 - 0.9**step) * one / (np.sqrt(two / (1 - 0.99**step)) + 1e-8), 0
+        for n in LEARNT:
+            m[n] -= move[at : at + m[n].size].reshape(m[n].shape)
+            at += m[n].size
 
 
 def epochs_for(windows: int) -> int:
-    """All chosen windows are met once; those of a small corpus up to twelve times."""
+    """All windows are met once; those of a small corpus up to twelve times."""
     return max(1, min(12, round(STEPS * BATCH / max(1, windows))))
 
 
@@ -279,7 +312,7 @@ def changed(m: dict, total: np.ndarray) -> dict:
     return out
 
 
-def train(ids: np.ndarray, first: np.ndarray, vocab: int, classes: int = CLASSES, width: int = WIDTH, every: int = EVERY) -> dict:
+def train(ids: np.ndarray, first: np.ndarray, vocab: int, classes: int = CLASSES, width: int = WIDTH, every: int = 1) -> dict:
     """The model of texts in memory, in one task; no ids give an untrained one."""
     m = untrained(np.bincount(ids, minlength=vocab), *pair_counts(ids, first, vocab - 1), classes, width)
     rows, real = windows_of(ids, first, np.zeros(len(first) - 1, np.int64), every, vocab - 1)
@@ -390,9 +423,9 @@ def _trains(doc_id, known, mod: int, held: int) -> bool:
 class Corpus:
     """The documents as ids and word hashes, packed in chunks; what is asked of it is asked of every chunk."""
 
-    MADE = "texts long, words long, windows long, ids binary, hashes binary, pairs binary, rows binary"
+    MADE = "texts long, words long, windows long, ids binary, hashes binary, pairs binary"
 
-    def __init__(self, docs: DataFrame, mod: int = MOD, held: int = HELD, ranks_path: str | None = None, pattern: str | None = None, every: int = EVERY, id_col: str = "doc_id", text_col: str = "text", per_shard: int = PER_SHARD, most_rows: int = ROWS, chunk_bytes: int = CHUNK):
+    def __init__(self, docs: DataFrame, mod: int = MOD, held: int = HELD, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", per_shard: int = PER_SHARD, most_rows: int = ROWS, chunk_bytes: int = CHUNK):
         self.spark, self.mod, self.held, self.per_shard, self.most_rows = docs.sparkSession, mod, held, per_shard, most_rows
         default_path, default_pattern = defaults()
         pattern = pattern or default_pattern
@@ -411,15 +444,12 @@ class Corpus:
             own = expand(ids, first[:-1][trains], lengths[trains])
             own_first = np.concatenate([[0], np.cumsum(lengths[trains])])
             keys, times = pair_counts(own, own_first, vocab - 1) if len(own) else (np.zeros(0, np.int64),) * 2
-            phases = np.array([zlib.crc32(f"{i}/window".encode()) for i in doc_ids[trains].tolist()], np.int64)
-            rows, real = windows_of(own, own_first, phases, every, vocab - 1) if len(own) else (np.zeros((0, SPAN + 1), kind), np.zeros(0, np.int64))
             yield int(trains.sum())
             yield int(np.diff(first_word)[trains].sum())
-            yield len(rows)
-            yield pickle.dumps((squeeze(ids.astype(kind)), squeeze(lengths)), 5)
+            yield int((-(-lengths[trains] // SPAN)).sum())
+            yield pickle.dumps((squeeze(ids.astype(kind)), squeeze(lengths), trains), 5)
             yield pickle.dumps(words, 5)
             yield pickle.dumps((squeeze_sorted(keys), squeeze(times.astype(np.int64))), 5)
-            yield pickle.dumps((squeeze(rows.astype(kind).ravel()), squeeze(real.astype(np.uint8))), 5)
 
         self.chunks = pack(docs, chunk_bytes, id_col, text_col, made=self.MADE, make=make)
         total = self.chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "texts", "words", "windows")), F.count("*")).first()
@@ -427,7 +457,7 @@ class Corpus:
 
     def model(self, pairs: int = PAIRS) -> dict:
         """Train on every training text."""
-        vocab, kind = self.vocab, _kind(self.vocab)
+        vocab = self.vocab
 
         def count(batches):
             keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -465,19 +495,20 @@ class Corpus:
                 held, seed = [], 0
                 for batch in batches:
                     for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                        rows, real = (unsqueeze(x) for x in pickle.loads(blob.as_py()))
-                        held.append((chunk, rows.reshape(-1, SPAN + 1), real))
+                        held.append((chunk, *training_windows(blob.as_py(), vocab - 1)))
                         if sum(len(x) for _, _, x in held) > 1 << 17:
                             total, held = total + done(now, held, r), []
+                            lean()
                 if held:
-                    total += done(now, held, r)
+                    total, held = total + done(now, held, r), []
+                    lean()
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["i", "v"])
 
             def done(now, held, r):
                 rows, real = np.concatenate([x for _, x, _ in held]), np.concatenate([x for _, _, x in held])
                 return change(now, rows, real, epochs, r, rounds, held[0][0]) if len(rows) else 0
 
-            parts = self.chunks.select("chunk", "rows").mapInArrow(go, "i long, v long").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+            parts = self.chunks.select("chunk", "ids").mapInArrow(go, "i long, v long").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
             total = np.zeros(size, np.int64)
             total[parts.column("i").to_numpy()] = parts.column("v").to_numpy()
             m = changed(m, total)
@@ -534,7 +565,7 @@ class Corpus:
             scorer = Scorer(pickle.loads(grow(trained.value)))
             for batch in batches:
                 for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids, lengths = (unsqueeze(x) for x in pickle.loads(blob.as_py()))
+                    ids, lengths = (unsqueeze(x) for x in pickle.loads(blob.as_py())[:2])
                     at = np.concatenate([[0], np.cumsum(lengths)])
                     # a few texts at a time, so that the working memory stays that of some windows
                     out, d = np.zeros(len(lengths)), 0
@@ -573,7 +604,7 @@ class Corpus:
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_ids long"
 
 
-def lm_scores(docs: DataFrame, mod: int = MOD, held: int = HELD, ranks_path: str | None = None, pattern: str | None = None, every: int = EVERY, pairs: int = PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, mod: int = MOD, held: int = HELD, ranks_path: str | None = None, pattern: str | None = None, pairs: int = PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: held_out, n_tokens, n_known, train_tokens, base_score, score, n_ids.
 
     Training texts are those with crc32(doc_id as text) mod `mod` other than `held`; a null doc_id trains nothing and
@@ -582,7 +613,7 @@ def lm_scores(docs: DataFrame, mod: int = MOD, held: int = HELD, ranks_path: str
     training texts both still are probabilities, of an untrained model. Repeated rows come back repeated; an empty table
     gives none.
     """
-    corpus = Corpus(docs, mod, held, ranks_path, pattern, every, id_col, text_col)
+    corpus = Corpus(docs, mod, held, ranks_path, pattern, id_col, text_col)
     return corpus.scores(corpus.model(pairs))
 
 

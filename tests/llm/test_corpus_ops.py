@@ -246,6 +246,23 @@ def test_lm_every_text_gives_a_window_and_at_every_1_each_id_is_in_one():
     assert len(lm.windows_of(ids[:0], np.zeros(1, np.int64), np.zeros(0, np.int64), 8, 99)[0]) == 0
 
 
+def test_lm_attention_trains_on_every_id_of_every_training_text(spark):
+    """What the windows of all chunks predict, and after which id, are the pairs that were counted over all training texts."""
+    docs = [*documents().items(), *hard()]
+    corpus = lm.Corpus(frame(spark, docs), chunk_bytes=100_000)
+    m = lm.untrained(np.bincount([5, 6], minlength=corpus.vocab), np.array([6]), np.array([1]))
+    n_ids = [r["n_ids"] for r in corpus.scores(m).collect() if not r["held_out"]]
+    assert corpus.n_chunks > 1 and corpus.windows == sum(-(-n // lm.SPAN) for n in n_ids)
+    counted, trained = Counter(), Counter()
+    for row in corpus.chunks.select("ids", "pairs").collect():
+        keys, times = map(lm.unsqueeze, lm.pickle.loads(row["pairs"]))
+        counted.update(dict(zip(np.cumsum(keys).tolist(), times.tolist())))
+        rows, real = lm.training_windows(bytes(row["ids"]), corpus.vocab - 1)
+        live = np.arange(lm.SPAN) < real[:, None]
+        trained.update((rows[:, :-1].astype(np.int64) * corpus.vocab + rows[:, 1:])[live].tolist())
+    assert sum(counted.values()) == sum(n_ids) and trained == counted
+
+
 def test_lm_pair_counts():
     rng = np.random.default_rng(6)
     ids = rng.integers(0, 20, 500).astype(np.int32)

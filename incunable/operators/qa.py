@@ -58,6 +58,11 @@ def repeated_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(twins, lambda x: x.isNotNull()))
 
 
+def rounded(c: Column) -> Column:
+    """To three digits by scaling, as SQL engines round doubles: 323 / 80 is under 4.0375, which F.round() takes for it."""
+    return F.round(c * 1000) / 1000
+
+
 def broken_chars(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(f"({BROKEN})"))))
 
@@ -79,10 +84,10 @@ def row_issues(pairs: DataFrame) -> DataFrame:
     checks = [
         issue((b == 0) & (a > 0), "empty_translation", F.when(a > 20, high).otherwise(medium), a),
         issue((a == 0) & (b > 0), "empty_source", medium, b),
-        issue(both & ((ratio < 0.3) | (ratio > 3)), "length_mismatch", F.when((ratio < 0.15) | (ratio > 5), high).otherwise(medium), F.round(ratio, 3)),
+        issue(both & ((ratio < 0.3) | (ratio > 3)), "length_mismatch", F.when((ratio < 0.15) | (ratio > 5), high).otherwise(medium), rounded(ratio)),
         issue(F.size("_broken") > 0, "suspicious_chars", medium, joined("_broken")),
         issue((a > 80) & (b > 0) & ~F.substring(tgt, -1, 1).isin(*".!?;:,-–"), "potential_break", low, F.substring(tgt, -1, 1)),
-        issue((share(cyrillic) >= 0.5) & (share(latin) >= 0.2), "mixed_alphabet", medium, F.concat_ws(",", F.round(share(latin), 3), F.round(share(cyrillic), 3))),
+        issue((share(cyrillic) >= 0.5) & (share(latin) >= 0.2), "mixed_alphabet", medium, F.concat_ws(",", rounded(share(latin)), rounded(share(cyrillic)))),
         issue(F.size("_joined") > 0, "concatenated_scripts", medium, joined("_joined")),
         issue(F.size("_terms") > 0, "suspect_terms_en_in_ru", low, joined(F.array_sort("_terms"))),
         issue(F.size("_twins") > 0, "repeated_tokens", low, joined("_twins")),

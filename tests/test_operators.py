@@ -55,6 +55,11 @@ def test_chapters(spark):
     assert got == {"02 - Beta Chapter.txt": "\n".join(f"text {p}" for p in range(1, 9)), "03 - Gamma Chapter.txt": "text 9\ntext 10"}
 
 
+def test_ratios_round_as_sql_rounds_them(spark):
+    source, target = frame(spark, [(1, 0, "a" * 80, "", None, None)]), frame(spark, [(1, 0, "", "b" * 322 + ".", None, None)])
+    assert [r["message"] for r in qa.check(source, target).where("type = 'length_mismatch'").collect()] == ["4.037"]
+
+
 def test_qa(spark):
     source = frame(spark, [(1, 0, "A" * 30, "", None, None), (1, 1, "Hello world.", "", None, None), (1, 2, "", "", None, None), (1, 3, "same", "", None, None)])
     target = frame(spark, [(1, 0, "", "", None, None), (1, 1, "", "Привет мир.", None, None), (1, 2, "", "x", None, None), (1, 4, "", "qi qi meridiansвсе", None, None)])

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 # Characters and patterns of protected tokens.
 SOFT_HYPHEN = "\u00ad"
 NBSP = "\u00a0"
+#: What \s matches under (?U), the white space of Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 FIGURE = r"(?iU)\b(FIG\.?\s*\d+[A-Z]?)\b"
 TABLE = r"(?iU)\b(TABLE\.?\s*\d+[A-Z]?)\b"
@@ -29,7 +31,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+\z", "")
+    return F.trim(col(c), F.lit(WHITE))
 
 
 def once(value: Column, use) -> Column:

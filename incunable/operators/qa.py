@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_filled, strip
+from ..functions.text import first_filled, once, strip
 
 # English terms that should not stay in Russian text, and marks of broken encodings.
 SUSPECTS = ("acupuncture", "meridian", "meridians", "chi", "qi", "yin", "yang", "channel", "channels", "fascia", "fascias")
@@ -37,25 +37,30 @@ def pair_by_place(source: DataFrame, target: DataFrame) -> DataFrame:
 def letters(c: Column) -> tuple[Column, Column]:
     """How many Latin and how many Cyrillic letters."""
     low = F.lower(c)
-    return F.regexp_count(low, F.lit("[a-z]")), F.regexp_count(low, F.lit("[а-яё]"))
+    kept = lambda others: F.length(F.regexp_replace(low, others, ""))
+    return kept("[^a-z]+"), kept("[^а-яё]+")
 
 
 def joined_scripts(c: Column) -> Column:
+    """Tokens with letters of both scripts; a text that lacks one of them is not cut into tokens."""
+    both = lambda x: x.rlike("(?i)[a-z]") & x.rlike("(?iu)[а-яё]")
     tokens = F.regexp_extract_all(c, F.lit(r"(?U)(\S+)"))
-    return F.filter(tokens, lambda x: x.rlike("(?i)[a-z]") & x.rlike("(?iu)[а-яё]"))
+    return F.when(~both(c), F.array().cast("array<string>")).otherwise(F.filter(tokens, both))
 
 
 def suspect_terms(c: Column) -> Column:
-    low = F.lower(c)
-    return F.filter(F.array(*[F.lit(x) for x in SUSPECTS]), lambda w: low.contains(w))
+    return once(F.lower(c), lambda low: F.filter(F.array(*[F.lit(x) for x in SUSPECTS]), lambda w: low.contains(w)))
 
 
 def repeated_tokens(c: Column) -> Column:
     """Words that follow themselves, each once, in order."""
-    w = F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"))
-    n = F.greatest(F.size(w) - 1, F.lit(0))
-    twins = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.when(a == b, a))
-    return F.array_distinct(F.filter(twins, lambda x: x.isNotNull()))
+
+    def twins(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.when(a == b, a))
+
+    found = once(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)")), twins)
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
 def rounded(c: Column) -> Column:
@@ -106,7 +111,9 @@ def _checked(source: DataFrame, target: DataFrame) -> DataFrame:
 def check(source: DataFrame, target: DataFrame) -> DataFrame:
     """Issues of a book's translation as rows: lost and extra blocks, then what each pair shows."""
     at = lambda c: F.coalesce(f"s.{c}", f"t.{c}").alias(c)
-    return _checked(source, target).select("book_id", F.col("id").alias("block_id"), at("page"), at("order"), F.explode("issues").alias("x")).select("book_id", "block_id", "page", "order", "x.*")
+    # outer: else the optimizer puts a filter on the array's size below, which makes every check again from the texts
+    rows = _checked(source, target).select("book_id", F.col("id").alias("block_id"), at("page"), at("order"), F.explode_outer("issues").alias("x")).where("x is not null")
+    return rows.select("book_id", "block_id", "page", "order", "x.*")
 
 
 def report(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -149,3 +149,10 @@ def test_list_items_keep_control_characters(spark):
 def test_editor_pass_mends_both_misreadings(spark):
     text = "НТакупунктура NТакупунктура NТакупунктуры " + "слово " * 40
     assert values(spark, [text], p.editor_pass("x")) == ["Акупунктура Акупунктура N Такупунктуры " + "слово " * 40]
+
+
+def test_strip_takes_what_a_unicode_pattern_takes(spark):
+    every = "".join(map(chr, [*range(0x0, 0xD800), *range(0xE000, 0x10000)]))
+    rows = [(c + "x" + c,) for c in every] + [("",), (" \t　\n",), (" a    b  ",)]
+    got = spark.createDataFrame(rows, "x string").where(~t.strip("x").eqNullSafe(F.regexp_replace("x", r"(?U)^\s+|\s+\z", "")))
+    assert got.count() == 0

@@ -60,6 +60,17 @@ def test_ratios_round_as_sql_rounds_them(spark):
     assert [r["message"] for r in qa.check(source, target).where("type = 'length_mismatch'").collect()] == ["4.037"]
 
 
+def planned(df):
+    """The optimized plan, in one line."""
+    return " ".join(df._jdf.queryExecution().optimizedPlan().toString().split())
+
+
+def test_checks_are_made_once(spark):
+    pair = frame(spark, [(1, 0, "a b", "", None, None)]), frame(spark, [(1, 0, "", "qi qi", None, None)])
+    plan = planned(qa.check(*pair).where("type = 'repeated_tokens'"))
+    assert "Filter (size(" not in plan and plan.count("(\\w+)") <= 2  # pairs by id and by place
+
+
 def test_qa(spark):
     source = frame(spark, [(1, 0, "A" * 30, "", None, None), (1, 1, "Hello world.", "", None, None), (1, 2, "", "", None, None), (1, 3, "same", "", None, None)])
     target = frame(spark, [(1, 0, "", "", None, None), (1, 1, "", "Привет мир.", None, None), (1, 2, "", "x", None, None), (1, 4, "", "qi qi meridiansвсе", None, None)])

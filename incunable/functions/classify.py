@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, first_filled, lines, once, strip
+from .text import WHITE, col, first_filled, lines, once, strip
 
 # Words and marks that the rules look for.
 BULLETS = ("- ", "* ", "• ", "∙ ", "· ")
@@ -41,8 +41,8 @@ def has_upper(c: Column) -> Column:
 
 def upper_ratio(c: Column, least: int = 0) -> Column:
     """Share of capitals among letters; least: the denominator's minimum (0: null without letters)."""
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    return F.regexp_count(c, F.lit(r"\p{Lu}")) / (F.greatest(letters, F.lit(least)) if least else F.nullif(letters, F.lit(0)))
+    letters = F.length(F.regexp_replace(c, r"\P{L}+", ""))
+    return F.length(F.regexp_replace(c, r"\P{Lu}+", "")) / (F.greatest(letters, F.lit(least)) if least else F.nullif(letters, F.lit(0)))
 
 
 def block_type(c: Column | str) -> Column:
@@ -95,34 +95,54 @@ def role_v1(text: Column | str, given: Column | str) -> Column:
     return F.when(base.isin("heading1", "chapter", "title", "heading"), "heading1").when(base.isin("heading2", "subtitle", "subheading"), "heading2").when(keyword, "heading2").otherwise("paragraph")
 
 
+# Rules in two forms: of a text, and, under _, of texts that are stripped (t) or in lower case (low) already.
 def page_header_footer(c: Column | str) -> Column:
-    t = F.lower(strip(_text(c)))
-    return (t.startswith("страница ") & t.contains(" из ")) | (t.startswith("page ") & t.contains(" of "))
+    return once(F.lower(strip(_text(c))), _page_header_footer)
+
+
+def _page_header_footer(low: Column) -> Column:
+    return (low.startswith("страница ") & low.contains(" из ")) | (low.startswith("page ") & low.contains(" of "))
 
 
 def license_note(c: Column | str) -> Column:
-    t = F.lower(_text(c))
-    return t.contains("creative commons") | t.contains("open access") | (t.contains("springer nature") & (t.contains("neutral") | t.contains("нейтральн")))
+    return once(F.lower(_text(c)), _license_note)
+
+
+def _license_note(low: Column) -> Column:
+    return low.contains("creative commons") | low.contains("open access") | (low.contains("springer nature") & (low.contains("neutral") | low.contains("нейтральн")))
 
 
 def graphical_abstract(c: Column | str) -> Column:
-    t = F.lower(_text(c))
-    return t.contains("graphical abstract") | (t.contains("графическ") & t.contains("абстрак"))
+    return once(F.lower(_text(c)), _graphical_abstract)
+
+
+def _graphical_abstract(low: Column) -> Column:
+    return low.contains("graphical abstract") | (low.contains("графическ") & low.contains("абстрак"))
 
 
 def looks_heading(c: Column | str) -> Column:
-    t = strip(_text(c))
+    return once(strip(_text(c)), _looks_heading)
+
+
+def _looks_heading(t: Column) -> Column:
     opening = (F.length(t) <= 80) & t.rlike(r"^\p{Lu}") & ~ends(t, ".:;")
     return (t != "") & (opening | F.coalesce(upper_ratio(t) > 0.4, F.lit(False)))
 
 
 def figure_caption(c: Column | str) -> Column:
-    return starts(F.lower(strip(_text(c))), FIGURE_STARTS)
+    return once(F.lower(strip(_text(c))), _figure_caption)
+
+
+def _figure_caption(low: Column) -> Column:
+    return starts(low, FIGURE_STARTS)
 
 
 def looks_list(c: Column | str) -> Column:
-    t = F.regexp_replace(_text(c), r"(?U)^\s+", "")
-    return t.rlike(r"^[•\-–—*]") | t.rlike(r"(?U)^\(?\d+[.)]\s+") | F.lower(t).rlike(r"(?U)^[ivxlcdm]+\.\s+")
+    return once(F.ltrim(_text(c), F.lit(WHITE)), lambda t: _looks_list(t, F.lower(t)))
+
+
+def _looks_list(t: Column, low: Column) -> Column:
+    return t.rlike(r"^[•\-–—*]") | t.rlike(r"(?U)^\(?\d+[.)]\s+") | low.rlike(r"(?U)^[ivxlcdm]+\.\s+")
 
 
 def table_block(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import classify as k
-from .text import col, lines, strip
+from .text import col, lines, once, strip
 
 TRANSLATE_CHUNK, PARAGRAPH_CHUNK, LONG_PARAGRAPH = 350, 600, 800
 # Words that open an abstract with their titles, and the patterns of numbered headings.
@@ -55,12 +55,15 @@ def split_structural_v1(source: Column | str, target: Column | str) -> Column:
 
 def split_structural(c: Column | str) -> Column:
     """(head, body) of a block that opens like a numbered heading or a chapter; empty strings if it does not."""
-    t = strip(F.coalesce(col(c), F.lit("")))
+    return once(strip(F.coalesce(col(c), F.lit(""))), lambda t: _structural(t, F.lower(t)))
+
+
+def _structural(t: Column, low: Column) -> Column:
     part = lambda p, i: strip(F.regexp_extract(t, p, i))
     pair = lambda a, b: F.struct(a.alias("head"), b.alias("body"))
     body = part(_TITLED, 3)
     return (
-        F.when(F.lower(t).rlike(r"(?U)^\s*(глава|chapter)\s+\d+\b"), pair(t, F.lit("")))
+        F.when(low.rlike(r"(?U)^\s*(глава|chapter)\s+\d+\b"), pair(t, F.lit("")))
         .when(t.rlike(_NUMBERED), pair(F.concat_ws(" ", part(_NUMBERED, 1), part(_NUMBERED, 2)), part(_NUMBERED, 3)))
         .when(t.rlike(_TITLED), pair(F.concat_ws(" ", part(_TITLED, 1), part(_TITLED, 2)), F.when(F.length(body) > 10, body).otherwise("")))
         .otherwise(pair(F.lit(""), F.lit("")))
@@ -69,14 +72,16 @@ def split_structural(c: Column | str) -> Column:
 
 def split_abstract(c: Column | str) -> Column:
     """(head, body) of an abstract; bodies of up to ten characters are dropped. Empty strings if it is none."""
-    raw = F.coalesce(col(c), F.lit(""))
-    t = F.lower(strip(raw))
+    return once(F.coalesce(col(c), F.lit("")), lambda raw: once(F.lower(strip(raw)), lambda low: _abstract(raw, low)))
+
+
+def _abstract(raw: Column, low: Column) -> Column:
     out = F.struct(F.lit("").alias("head"), F.lit("").alias("body"))
     for word, title in reversed(ABSTRACTS):
         body = strip(F.substring(raw, len(word) + 1, 1 << 30))
-        out = F.when(t.startswith(word + " "), F.struct(F.lit(title).alias("head"), F.when(F.length(body) > 10, body).otherwise("").alias("body"))).otherwise(out)
+        out = F.when(low.startswith(word + " "), F.struct(F.lit(title).alias("head"), F.when(F.length(body) > 10, body).otherwise("").alias("body"))).otherwise(out)
     for word, title in ABSTRACTS:
-        out = F.when(t == word, F.struct(F.lit(title).alias("head"), F.lit("").alias("body"))).otherwise(out)
+        out = F.when(low == word, F.struct(F.lit(title).alias("head"), F.lit("").alias("body"))).otherwise(out)
     return out
 
 
@@ -87,22 +92,19 @@ def table_rows(c: Column | str) -> Column:
 
 def block_to_paragraphs(c: Column | str) -> Column:
     """array<struct<type, text, rows>> of none, one or two paragraphs that a translated block becomes."""
-    raw = F.coalesce(col(c), F.lit(""))
-    t = strip(raw)
+    return once(strip(F.coalesce(col(c), F.lit(""))), lambda t: once(F.lower(t), lambda low: _paragraphs(t, low)))
+
+
+def _paragraphs(t: Column, low: Column) -> Column:
+    """The cascade over a stripped text and its lower case; each split is made once, where the rules before it fail."""
     no_rows = F.lit(None).cast("array<array<string>>")
     one = lambda kind, text, rows=no_rows: F.struct(F.lit(kind).alias("type"), text.alias("text"), rows.alias("rows"))
     none = F.array().cast("array<struct<type:string,text:string,rows:array<array<string>>>>")
     heading = lambda s: F.when(s["body"] != "", F.array(one("heading2", s["head"]), one("paragraph", s["body"]))).otherwise(F.array(one("heading2", s["head"])))
-    abstract, structural = split_abstract(t), split_structural(t)
-    rows = table_rows(t)
-    preview = F.nullif(F.substring(F.array_join(F.transform(F.slice(rows, 1, 3), lambda r: F.array_join(r, " | ")), " / "), 1, 200), F.lit(""))
-    return (
-        F.when((t == "") | k.page_header_footer(t) | k.license_note(t) | k.graphical_abstract(t), none)
-        .when(abstract["head"] != "", heading(abstract))
-        .when(k.figure_caption(t), F.array(one("caption", t)))
-        .when(k.table_block(t), F.array(one("table", F.coalesce(preview, F.lit("[TABLE]")), rows)))
-        .when(structural["head"] != "", heading(structural))
-        .when(k.looks_list(t), F.array(one("list_item", t)))
-        .when(k.looks_heading(t), F.array(one("heading2", t)))
-        .otherwise(F.array(one("paragraph", t)))
-    )
+    preview = lambda rows: F.nullif(F.substring(F.array_join(F.transform(F.slice(rows, 1, 3), lambda r: F.array_join(r, " | ")), " / "), 1, 200), F.lit(""))
+    table = once(table_rows(t), lambda rows: F.array(one("table", F.coalesce(preview(rows), F.lit("[TABLE]")), rows)))
+    whole = F.when(k._looks_list(t, low), F.array(one("list_item", t))).when(k._looks_heading(t), F.array(one("heading2", t))).otherwise(F.array(one("paragraph", t)))
+    numbered = once(_structural(t, low), lambda s: F.when(s["head"] != "", heading(s)).otherwise(whole))
+    plain = F.when(k._figure_caption(low), F.array(one("caption", t))).when(k.table_block(t), table).otherwise(numbered)
+    opened = once(_abstract(t, low), lambda s: F.when(s["head"] != "", heading(s)).otherwise(plain))
+    return F.when((t == "") | k._page_header_footer(low) | k._license_note(low) | k._graphical_abstract(low), none).otherwise(opened)

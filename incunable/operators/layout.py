@@ -24,14 +24,15 @@ def column_order(blocks: DataFrame) -> DataFrame:
     a box come last.
     """
     x0, y0 = F.col("bbox.x0"), F.col("bbox.y0")
-    xs = F.sort_array(F.collect_list("bbox.x0"))
-    wide = blocks.groupBy(F.col("book_id").alias("_b"), F.col("page").alias("_p")).agg(F.get(xs, F.floor(F.size(xs) / 2).cast("int")).alias("_middle"), (F.max("bbox.x0") - F.min("bbox.x0")).alias("_spread"))
     spread, page = F.col("_spread"), Window.partitionBy("book_id", "page")
-    keyed = blocks.join(wide, F.col("book_id").eqNullSafe(F.col("_b")) & F.col("page").eqNullSafe(F.col("_p"))).withColumns({
+    # windows of one partitioning: the blocks are read and dealt out once, and no list of a page is made
+    ranked = blocks.withColumn("_n", F.row_number().over(page.orderBy(x0.asc_nulls_last())))
+    ranked = ranked.withColumns({"_at": F.floor(F.count(x0).over(page) / 2) + 1, "_spread": F.max(x0).over(page) - F.min(x0).over(page)})
+    keyed = ranked.withColumn("_middle", F.max(F.when(F.col("_n") == F.col("_at"), x0)).over(page)).withColumns({
         "_last": F.when(spread.isNull(), 0).when(x0.isNull(), 2).when(spread < SPREAD, 0).otherwise((x0 > F.col("_middle")).cast("int")),
         "_y": F.when(spread.isNull() | x0.isNull(), 0.0).otherwise(y0),
     })
-    return keyed.withColumn("place", F.row_number().over(page.orderBy("_last", "_y", "order")) - 1).drop("_last", "_y", "_b", "_p", "_middle", "_spread")
+    return keyed.withColumn("place", F.row_number().over(page.orderBy("_last", "_y", "order")) - 1).drop("_last", "_y", "_n", "_at", "_middle", "_spread")
 
 
 def paragraph_rows(blocks: DataFrame) -> DataFrame:
@@ -39,14 +40,19 @@ def paragraph_rows(blocks: DataFrame) -> DataFrame:
 
     A page whose blocks hold a graphical-abstract label gets a figure row ahead of its blocks, numbered through the book.
     """
-    placed = column_order(blocks)
-    rows = placed.select("book_id", "page", F.lit(1).alias("n1"), F.col("place").alias("n2"), F.posexplode(s.block_to_paragraphs("translated_text")).alias("n3", "p"))
-    rows = rows.select("book_id", "page", "n1", "n2", "n3", "p.type", "p.text", "p.rows")
-    marked = placed.groupBy("book_id", "page").agg(F.bool_or(k.graphical_abstract("translated_text")).alias("has")).where("has")
-    number = F.row_number().over(Window.partitionBy("book_id").orderBy("page"))
-    title = F.concat(F.lit("Graphical Abstract — Figure "), number)
-    figures = marked.select("book_id", "page", F.lit(0).alias("n1"), F.lit(0).alias("n2"), F.lit(0).alias("n3"), F.lit("figure").alias("type"), title.alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"))
-    return rows.unionByName(figures)
+    page, book = Window.partitionBy("book_id", "page"), Window.partitionBy("book_id").orderBy("page", "n1", "n2", "n3")
+    placed = column_order(blocks).withColumn("_label", k.graphical_abstract("translated_text"))
+    placed = placed.withColumn("_figure", F.col("_label") & (F.col("place") == F.min(F.when(F.col("_label"), F.col("place"))).over(page)))
+    # a block with the label is no paragraph, so the page's first one makes the figure row: the blocks are read once
+    none = F.lit(None).cast("array<array<string>>")
+    figure = F.array(F.struct(F.lit("figure").alias("type"), F.lit("").alias("text"), none.alias("rows")))
+    # outer: else the optimizer puts a filter on the array's size below, which makes the paragraphs twice
+    cut = F.posexplode_outer(F.when(F.col("_figure"), figure).otherwise(s.block_to_paragraphs("translated_text"))).alias("n3", "p")
+    rows = placed.select("book_id", "page", "place", "_figure", cut).where("p is not null")
+    at = lambda c: F.when(F.col("_figure"), 0).otherwise(c)
+    rows = rows.select("book_id", "page", at(F.lit(1)).alias("n1"), at(F.col("place")).alias("n2"), "n3", "p.type", "p.text", "p.rows")
+    number = F.sum(F.when(F.col("type") == "figure", 1).otherwise(0)).over(book)
+    return rows.withColumn("text", F.when(F.col("type") == "figure", F.concat(F.lit("Graphical Abstract — Figure "), number)).otherwise(F.col("text")))
 
 
 def paragraph_stream(blocks: DataFrame) -> DataFrame:
@@ -70,7 +76,7 @@ def paragraph_stream(blocks: DataFrame) -> DataFrame:
         return F.when(F.length(now["text"]) < ROOM, F.struct(acc["done"].alias("done"), grown.alias("now"))).otherwise(F.struct(F.array_append(acc["done"], now).alias("done"), x.alias("now")))
 
     folded = F.aggregate(F.slice("xs", F.lit(2), F.greatest(F.size("xs") - 1, F.lit(0))), F.struct(closed.alias("done"), first.alias("now")), step, lambda a: F.array_append(a["done"], a["now"]))
-    rows = each.select("book_id", F.explode(folded).alias("p")).select("book_id", "p.*")
+    rows = each.select("book_id", F.explode_outer(folded).alias("p")).select("book_id", "p.*")
     seq = F.row_number().over(Window.partitionBy("book_id").orderBy("n")) - 1
     return rows.select("book_id", seq.alias("seq"), "type", "text", "page", "rows")
 

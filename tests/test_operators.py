@@ -71,6 +71,19 @@ def test_checks_are_made_once(spark):
     assert "Filter (size(" not in plan and plan.count("(\\w+)") <= 2  # pairs by id and by place
 
 
+def test_paragraphs_are_made_once(spark):
+    given = frame(spark, [(1, 0, "", "Words.", 0, 0)]).withColumn("translated_text", F.lower("translated_text"))
+    for df in (lay.paragraph_rows(given), lay.paragraph_stream(given), lay.docx_plan(lay.paragraph_stream(given))):
+        assert "Filter (size(" not in planned(df) and planned(df).count("graphical abstract") == 2  # the label, and the cascade
+        assert planned(df).count("LogicalRDD") + planned(df).count("LocalRelation") <= 1
+
+
+def test_figure_row_stands_for_all_labels_of_a_page(spark):
+    rows = [(2, 0, "", "Words here before the label.", 0, 0), (2, 1, "", "Graphical abstract", 0, 5), (2, 2, "", "graphical abstract", 0, 9), (3, 3, "", None, 0, 0)]
+    got = lay.paragraph_rows(frame(spark, rows)).orderBy("page", "n1", "n2", "n3").collect()
+    assert [(r["page"], r["n1"], r["n2"], r["n3"], r["type"], r["text"]) for r in got] == [(2, 0, 0, 0, "figure", "Graphical Abstract — Figure 1"), (2, 1, 0, 0, "paragraph", "Words here before the label.")]
+
+
 def test_qa(spark):
     source = frame(spark, [(1, 0, "A" * 30, "", None, None), (1, 1, "Hello world.", "", None, None), (1, 2, "", "", None, None), (1, 3, "same", "", None, None)])
     target = frame(spark, [(1, 0, "", "", None, None), (1, 1, "", "Привет мир.", None, None), (1, 2, "", "x", None, None), (1, 4, "", "qi qi meridiansвсе", None, None)])

@@ -32,6 +32,8 @@ TERMS = (
 MISREAD = (("НТакупунктура", "Акупунктура"), ("NТакупунктура", "Акупунктура"))
 #: A word character of a private plane: glued to a kept form's Latin word, it takes away the word border.
 _GLUE = "\ua78c"
+#: Some of it is in every text that term_pass changes.
+ANY_TERM = f"(?iu)yin|yang|qi|chi|meridian|msk|dn|tcm|{_GLUE}"
 
 
 def _from(c: Column, least: int, changed: Column) -> Column:
@@ -59,7 +61,8 @@ def editor_pass(c: Column | str) -> Column:
     s = c
     for wrong, right in MISREAD:
         s = F.regexp_replace(s, rf"(?U)\b{wrong}\b", right)
-    return _from(c, EDITOR_FROM, split_scripts(s))
+    # neither a misread word nor a change of scripts is without a Cyrillic letter
+    return _from(c, EDITOR_FROM, F.when(c.rlike(r"[\u0400-\u04ff]"), split_scripts(s)).otherwise(c))
 
 
 def term_pass(c: Column | str) -> Column:
@@ -74,7 +77,8 @@ def term_pass(c: Column | str) -> Column:
     s = F.regexp_replace(s, rf"(?U)({_GLUE}Yin)(\s*&\s*)(Yang{_GLUE})", f"$1{_GLUE}$2{_GLUE}$3")
     for term, russian in TERMS:
         s = F.regexp_replace(s, rf"(?iuU)\b{term}\b", russian)
-    return _from(c, TERMS_FROM, F.replace(s, F.lit(_GLUE), F.lit("")))
+    # a text without any term's letters stays, but for marks of ours
+    return _from(c, TERMS_FROM, F.when(c.rlike(ANY_TERM), F.replace(s, F.lit(_GLUE), F.lit(""))).otherwise(c))
 
 
 def preserve_tokens(text: Column | str, tokens: Column | str) -> Column:

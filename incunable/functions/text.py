@@ -49,16 +49,16 @@ def lines(c: Column | str) -> Column:
 
 
 def strip_soft(c: Column | str) -> Column:
-    return F.translate(F.replace(col(c), F.lit(SOFT_HYPHEN), F.lit("")), NBSP, " ")
+    return F.replace(F.replace(col(c), F.lit(SOFT_HYPHEN), F.lit("")), F.lit(NBSP), F.lit(" "))
 
 
 def merge_hyphen(c: Column | str) -> Column:
     """Words broken by a hyphen at a line's end are joined; one pass, as joining makes no new break."""
-    return F.regexp_replace(col(c), r"(?U)(?<=\w)-\n(?=\w)", "")
+    return F.regexp_replace(col(c), r"(?U)-(?<=\w-)\n(?=\w)", "")
 
 
 def normalize_whitespace(c: Column | str) -> Column:
-    tidy = F.transform(lines(c), lambda x: strip(F.regexp_replace(x, "[ \t]+", " ")))
+    tidy = F.transform(lines(c), lambda x: strip(F.regexp_replace(x, "[ \t]{2,}|\t", " ")))
     return F.array_join(F.filter(tidy, lambda x: x != ""), "\n")
 
 

@@ -156,3 +156,10 @@ def test_strip_takes_what_a_unicode_pattern_takes(spark):
     rows = [(c + "x" + c,) for c in every] + [("",), (" \t　\n",), (" a    b  ",)]
     got = spark.createDataFrame(rows, "x string").where(~t.strip("x").eqNullSafe(F.regexp_replace("x", r"(?U)^\s+|\s+\z", "")))
     assert got.count() == 0
+
+
+def test_terms_are_found_in_any_case(spark):
+    given = ["y" * 80 + x for x in (" YİN", " qı", " MSK", " mſk", " tcm", " meridiaN", " \ua78cQi")]
+    got = values(spark, given, p.term_pass("x"))
+    assert [x[81:] for x in got[2:6]] == ["опорно-двигательный аппарат (MSK)", "опорно-двигательный аппарат (MSK)", "традиционная китайская медицина (ТКМ)", "меридиан"] and got[6] == "y" * 80 + " Qi"
+    assert p.ANY_TERM and values(spark, ["z" * 90 + "\ua78c", "z" * 90], p.term_pass("x")) == ["z" * 90, "z" * 90]

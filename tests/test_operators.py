@@ -78,6 +78,12 @@ def test_paragraphs_are_made_once(spark):
         assert planned(df).count("LogicalRDD") + planned(df).count("LocalRelation") <= 1
 
 
+def test_book_reads_its_blocks_once(spark):
+    out = book.run_book(frame(spark, [(1, 0, "Words.", "", 0, 0)]).drop("translated_text").withColumn("text", F.lower("text")), gate=False)
+    plan = planned(out["paragraphs"])
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 1 and plan.count("\\bMSK\\b") <= 1
+
+
 def test_figure_row_stands_for_all_labels_of_a_page(spark):
     rows = [(2, 0, "", "Words here before the label.", 0, 0), (2, 1, "", "Graphical abstract", 0, 5), (2, 2, "", "graphical abstract", 0, 9), (3, 3, "", None, 0, 0)]
     got = lay.paragraph_rows(frame(spark, rows)).orderBy("page", "n1", "n2", "n3").collect()

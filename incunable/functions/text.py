@@ -153,8 +153,12 @@ COMMON = {"en": "the of and to in is that for with", "fr": "le la les des et une
 
 def detect_language(c: Column | str) -> Column:
     """The language with the most frequent words in the whole text; null if none has any (a heuristic)."""
-    words = F.split(F.lower(col(c)), r"(?U)[^\w]+")
-    hits = lambda known: F.size(F.filter(words, lambda w: w.isin(*known.split())))
-    scored = [F.struct(hits(known).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("lang")) for i, (name, known) in enumerate(COMMON.items())]
-    best = F.array_max(F.array(*scored))
-    return F.when(best["n"] > 0, best["lang"])
+    every = sorted({w for known in COMMON.values() for w in known.split()})
+    # the text is split once, and only words of the lists are looked at again
+    found = F.filter(F.split(F.lower(col(c)), r"(?U)[^\w]+"), lambda w: w.isin(*every))
+
+    def best(words: Column) -> Column:
+        hits = lambda known: F.size(F.filter(words, lambda w: w.isin(*known.split())))
+        return F.array_max(F.array(*[F.struct(hits(known).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("lang")) for i, (name, known) in enumerate(COMMON.items())]))
+
+    return once(once(found, best), lambda x: F.when(x["n"] > 0, x["lang"]))

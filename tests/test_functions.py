@@ -163,3 +163,8 @@ def test_terms_are_found_in_any_case(spark):
     got = values(spark, given, p.term_pass("x"))
     assert [x[81:] for x in got[2:6]] == ["опорно-двигательный аппарат (MSK)", "опорно-двигательный аппарат (MSK)", "традиционная китайская медицина (ТКМ)", "меридиан"] and got[6] == "y" * 80 + " Qi"
     assert p.ANY_TERM and values(spark, ["z" * 90 + "\ua78c", "z" * 90], p.term_pass("x")) == ["z" * 90, "z" * 90]
+
+
+def test_language_splits_a_text_once(spark):
+    plan = spark.createDataFrame([("a",)], "x string").select(t.detect_language("x").alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1

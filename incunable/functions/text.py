@@ -144,7 +144,13 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching characters in the sense of difflib, which Levenshtein distance does not give."""
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+    def ratio(x: str, y: str) -> float:
+        # where one text begins the other, its longest match is all of it, and nothing is left to compare
+        if x.startswith(y) or y.startswith(x):
+            return 2.0 * min(len(x), len(y)) / (len(x) + len(y)) if x or y else 1.0
+        return SequenceMatcher(None, x, y).ratio()
+
+    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
 # Frequent words by which a text's language is guessed.

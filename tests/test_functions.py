@@ -168,3 +168,20 @@ def test_terms_are_found_in_any_case(spark):
 def test_language_splits_a_text_once(spark):
     plan = spark.createDataFrame([("a",)], "x string").select(t.detect_language("x").alias("y"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_similarity_of_texts_that_begin_alike(monkeypatch):
+    import difflib
+
+    import pandas as pd
+
+    plain = difflib.SequenceMatcher
+    long = "ab the quick fox " * 30
+    pairs = [(long, long), (long, long * 4), (long + "!", long), ("", long), ("", ""), (None, "x"), ("ab" * 200, "ab" * 200)]
+    want = [plain(None, a or "", b or "").ratio() for a, b in pairs]
+
+    def matcher(*_):
+        raise AssertionError("compared")
+
+    monkeypatch.setattr(difflib, "SequenceMatcher", matcher)
+    assert list(t.similarity.func(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]))) == want

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -133,10 +131,10 @@ def detection_sample(c: Column | str, most: int = 20_000) -> Column:
     return F.substring(col(c), 1, most)
 
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Unicode NFC, stripped. Spark has no such function."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).strip())
+def nfc(c: Column | str) -> Column:
+    """Unicode NFC, stripped as Python strips. Spark has no such function, but brings ICU, which needs no Python worker."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col(c), F.lit(False))
+    return F.trim(F.when(col(c).isNotNull(), composed), F.lit(WHITE + "\x1c\x1d\x1e\x1f"))
 
 
 @F.pandas_udf(T.DoubleType())

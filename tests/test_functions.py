@@ -165,6 +165,15 @@ def test_terms_are_found_in_any_case(spark):
     assert p.ANY_TERM and values(spark, ["z" * 90 + "\ua78c", "z" * 90], p.term_pass("x")) == ["z" * 90, "z" * 90]
 
 
+def test_nfc_is_that_of_python(spark):
+    import unicodedata
+
+    every = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x20000)] if unicodedata.category(chr(i)) != "Cn"]
+    rows = every + [a + chr(i) for a in "aeoA\u0438 \u1100\u0915" for i in range(0x300, 0x370)] + ["\u1100\u1161\u11a8", "q\u0307\u0323", "\x1c e\u0301 \x1f", "", None]
+    got = values(spark, rows, t.nfc("x"))
+    assert got == [x if x is None else unicodedata.normalize("NFC", x).strip() for x in rows]
+
+
 def test_language_splits_a_text_once(spark):
     plan = spark.createDataFrame([("a",)], "x string").select(t.detect_language("x").alias("y"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1

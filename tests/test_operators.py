@@ -90,6 +90,10 @@ def test_figure_row_stands_for_all_labels_of_a_page(spark):
     assert [(r["page"], r["n1"], r["n2"], r["n3"], r["type"], r["text"]) for r in got] == [(2, 0, 0, 0, "figure", "Graphical Abstract — Figure 1"), (2, 1, 0, 0, "paragraph", "Words here before the label.")]
 
 
+def test_page_texts_need_no_python(spark):
+    assert "Python" not in planned(ch.page_texts(frame(spark, [(1, 0, "e\u0301", "", None, None)])))
+
+
 def test_qa(spark):
     source = frame(spark, [(1, 0, "A" * 30, "", None, None), (1, 1, "Hello world.", "", None, None), (1, 2, "", "", None, None), (1, 3, "same", "", None, None)])
     target = frame(spark, [(1, 0, "", "", None, None), (1, 1, "", "Привет мир.", None, None), (1, 2, "", "x", None, None), (1, 4, "", "qi qi meridiansвсе", None, None)])

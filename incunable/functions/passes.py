@@ -32,8 +32,9 @@ TERMS = (
 MISREAD = (("НТакупунктура", "Акупунктура"), ("NТакупунктура", "Акупунктура"))
 #: A word character of a private plane: glued to a kept form's Latin word, it takes away the word border.
 _GLUE = "\ua78c"
-#: Some of it is in every text that term_pass changes.
+#: What every text that term_pass changes holds: a term's letters, which are found fast, and a term that is a word.
 ANY_TERM = f"(?iu)yin|yang|qi|chi|meridian|msk|dn|tcm|{_GLUE}"
+WHOLE_TERM = rf"(?iuU)\b(?:yin|yang|qi|chi|meridians?|msk|dn|tcm)\b|{_GLUE}"
 
 
 def _from(c: Column, least: int, changed: Column) -> Column:
@@ -77,8 +78,8 @@ def term_pass(c: Column | str) -> Column:
     s = F.regexp_replace(s, rf"(?U)({_GLUE}Yin)(\s*&\s*)(Yang{_GLUE})", f"$1{_GLUE}$2{_GLUE}$3")
     for term, russian in TERMS:
         s = F.regexp_replace(s, rf"(?iuU)\b{term}\b", russian)
-    # a text without any term's letters stays, but for marks of ours
-    return _from(c, TERMS_FROM, F.when(c.rlike(ANY_TERM), F.replace(s, F.lit(_GLUE), F.lit(""))).otherwise(c))
+    # a text without any term stays, but for marks of ours
+    return _from(c, TERMS_FROM, F.when(c.rlike(ANY_TERM) & c.rlike(WHOLE_TERM), F.replace(s, F.lit(_GLUE), F.lit(""))).otherwise(c))
 
 
 def preserve_tokens(text: Column | str, tokens: Column | str) -> Column:

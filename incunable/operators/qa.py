@@ -10,6 +10,8 @@ from ..functions.text import first_filled, once, strip
 # English terms that should not stay in Russian text, and marks of broken encodings.
 SUSPECTS = ("acupuncture", "meridian", "meridians", "chi", "qi", "yin", "yang", "channel", "channels", "fascia", "fascias")
 BROKEN = r"[\x00-\x08\x0b\x0c\x0e-\x1f�ÃÂ]"
+#: A character that, whatever its case, may count as a Russian letter; a pattern that is searched fast.
+CYRILLIC = r"[\u0400-\u1cff]"
 ISSUE = ("book_id", "block_id", "page", "order", "type", "severity", "message")
 
 
@@ -45,7 +47,7 @@ def joined_scripts(c: Column) -> Column:
     """Tokens with letters of both scripts; a text that lacks one of them is not cut into tokens."""
     both = lambda x: x.rlike("(?i)[a-z]") & x.rlike("(?iu)[а-яё]")
     tokens = F.regexp_extract_all(c, F.lit(r"(?U)(\S+)"))
-    return F.when(~both(c), F.array().cast("array<string>")).otherwise(F.filter(tokens, both))
+    return F.when(~(c.rlike(CYRILLIC) & both(c)), F.array().cast("array<string>")).otherwise(F.filter(tokens, both))
 
 
 def suspect_terms(c: Column) -> Column:
@@ -77,7 +79,7 @@ def row_issues(pairs: DataFrame) -> DataFrame:
     # staged: each text is stripped once, and each search runs once
     pairs = pairs.withColumns({"_src": strip(F.coalesce("s.text", F.lit(""))), "_tgt": strip(F.coalesce("t.translated_text", F.lit("")))})
     src, tgt = F.col("_src"), F.col("_tgt")
-    pairs = pairs.withColumns({"_joined": joined_scripts(tgt), "_terms": suspect_terms(tgt), "_twins": repeated_tokens(tgt), "_broken": broken_chars(tgt), "_letters": F.struct(*[x.alias(n) for n, x in zip(("latin", "cyrillic"), letters(tgt))])})
+    pairs = pairs.withColumns({"_joined": joined_scripts(tgt), "_terms": suspect_terms(tgt), "_twins": repeated_tokens(tgt), "_broken": broken_chars(tgt), "_letters": F.when(tgt.rlike(CYRILLIC), F.struct(*[x.alias(n) for n, x in zip(("latin", "cyrillic"), letters(tgt))]))})
     a, b = F.length(src), F.length(tgt)
     latin, cyrillic = F.col("_letters.latin"), F.col("_letters.cyrillic")
     ratio = b / F.nullif(a, F.lit(0))
